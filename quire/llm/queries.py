@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import chunks, topn
+from quire.llm import chunks, sentences, topn, truncation
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -31,8 +31,22 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return best.select("request_id", "category_id", F.col("number").cast("long").alias("number"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    requests = _read(spark, folder, "categorize_requests").select("request_id", "text")
+    return sentences.split_sentences(requests, "text").distinct()
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = truncation.detect_truncated(_read(spark, folder, "documents"), ["doc_id"])
+    return found.filter("truncated").select("doc_id").distinct()
+
+
+def p9_report(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncation_report(truncation.detect_truncated(_read(spark, folder, "documents"), ["doc_id"]))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_pieces, p1_found, p2_found)}
+    return {f.__name__: f for f in (p1_pieces, p1_found, p2_found, p5_found, p9_found, p9_report)}
 
 
 def oracle_sql() -> dict[str, str]:
