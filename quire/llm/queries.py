@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import chunks, sentences, topn, truncation
+from quire.llm import chunks, scans, sentences, topn, truncation
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -31,6 +31,18 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return best.select("request_id", "category_id", F.col("number").cast("long").alias("number"))
 
 
+def _scanned(spark: SparkSession, folder: str) -> DataFrame:
+    return _read(spark, folder, "extract_requests").filter(F.col("schema_version") == "20241227")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.find_noise(_scanned(spark, folder))
+
+
+def p4_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.repair(_scanned(spark, folder)).distinct()
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     requests = _read(spark, folder, "categorize_requests").select("request_id", "text")
     return sentences.split_sentences(requests, "text").distinct()
@@ -46,7 +58,7 @@ def p9_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_pieces, p1_found, p2_found, p5_found, p9_found, p9_report)}
+    return {f.__name__: f for f in (p1_pieces, p1_found, p2_found, p4_found, p4_repaired, p5_found, p9_found, p9_report)}
 
 
 def oracle_sql() -> dict[str, str]:
