@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import chunks, scans, sentences, topn, truncation
+from quire.llm import chunks, personal, scans, sentences, topn, truncation
+from quire.session import Scratch
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -35,6 +36,35 @@ def _scanned(spark: SparkSession, folder: str) -> DataFrame:
     return _read(spark, folder, "extract_requests").filter(F.col("schema_version") == "20241227")
 
 
+def _personal_texts(spark: SparkSession, folder: str) -> DataFrame:
+    whole = scans.whole_text(F.col("text"), F.col("raw_ocr_response"))
+    return _scanned(spark, folder).select("request_id", F.col("text").isNotNull().alias("own"), whole.alias("text"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    texts = _personal_texts(spark, folder)
+    model = personal.learn(texts)
+    items = Scratch(spark, "p3").write(personal.find_personal(texts, model, ["request_id", "own"]), "items")
+    columns = ["request_id", "bbox_key", "pii_type", "start_offset", "end_offset"]
+    in_text = items.filter("own").select("request_id", F.lit(-1).cast("long").alias("bbox_key"), "pii_type", "start_offset", "end_offset")
+    # A box holds one cell of a line, and its key is the cell's place in the text.
+    boxes = _read(spark, folder, "extract_bboxes").filter("text is not null").select("request_id", "bbox_key", F.col("text").alias("box"))
+    joined = boxes.join(items.select("request_id", F.col("cell").alias("bbox_key"), "pii_type", "start_offset", "end_offset", "item"), on=["request_id", "bbox_key"])
+    at = F.col("start_offset") - F.col("bbox_key")
+    in_box = joined.filter(F.substring("box", (at + 1).cast("int"), F.length("item")) == F.col("item")).select("request_id", "bbox_key", "pii_type", at.alias("start_offset"), (F.col("end_offset") - F.col("bbox_key")).alias("end_offset"))
+    # Boxes of requests that have neither text nor recognised lines are read by themselves.
+    silent = _scanned(spark, folder).select("request_id", scans.whole_text(F.col("text"), F.col("raw_ocr_response")).isNull().alias("none")).groupBy("request_id").agg(F.min("none").alias("none")).filter("none")
+    alone = boxes.join(silent, on="request_id", how="left_semi").select("request_id", "bbox_key", F.col("box").alias("text"))
+    by_box = personal.find_personal(alone, model, ["request_id", "bbox_key"]).select(*columns)
+    return in_text.unionByName(in_box).unionByName(by_box).distinct()
+
+
+def p3_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    texts = _personal_texts(spark, folder)
+    marks = {r["pii_type"]: r["placeholder"] for r in _read(spark, folder, "pii_placeholders").collect()}  # five rows, fixed
+    return personal.redact(texts.filter("own"), personal.learn(texts), marks, ["request_id"]).distinct()
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return scans.find_noise(_scanned(spark, folder))
 
@@ -58,7 +88,7 @@ def p9_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_pieces, p1_found, p2_found, p4_found, p4_repaired, p5_found, p9_found, p9_report)}
+    return {f.__name__: f for f in (p1_pieces, p1_found, p2_found, p3_found, p3_redacted, p4_found, p4_repaired, p5_found, p9_found, p9_report)}
 
 
 def oracle_sql() -> dict[str, str]:
