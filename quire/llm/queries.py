@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import chunks, personal, scans, sentences, topn, truncation
+from quire.llm import chunks, mixing, packing, personal, scans, sentences, tokens, topn, truncation
 from quire.session import Scratch
 
 
@@ -78,6 +78,23 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.split_sentences(requests, "text").distinct()
 
 
+def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_read(spark, folder, "documents"), "doc_id", "text")
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packing_report(p7_packed(spark, folder))
+
+
+def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    sized = tokens.with_sizes(_read(spark, folder, "documents"), ["doc_id", "source"], "text")
+    return mixing.mix(sized, _read(spark, folder, "mix_targets"))
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixing_report(p8_mixture(spark, folder), _read(spark, folder, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     found = truncation.detect_truncated(_read(spark, folder, "documents"), ["doc_id"])
     return found.filter("truncated").select("doc_id").distinct()
@@ -88,7 +105,7 @@ def p9_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_pieces, p1_found, p2_found, p3_found, p3_redacted, p4_found, p4_repaired, p5_found, p9_found, p9_report)}
+    return {f.__name__: f for f in (p1_pieces, p1_found, p2_found, p3_found, p3_redacted, p4_found, p4_repaired, p5_found, p7_packed, p7_report, p8_mixture, p8_report, p9_found, p9_report)}
 
 
 def oracle_sql() -> dict[str, str]:
