@@ -1 +1 @@
-
+"""Column functions: normalization, string features, geometry, pattern synthesis."""

@@ -1,5 +1,180 @@
 """SQL equivalents of the core queries, for DuckDB over the same tables."""
 
+from quire.functions.strings import NEEDLES
+from quire.operators.spans import PATTERNS
+
+
+def tokens(pattern: str, group: str = "tok", lead: int = 0, trail: int = 0, where: str = "TRUE") -> str:
+    """Matches with offsets: the gaps and the matches of a text alternate, so a running sum of lengths gives the ends. ``group`` is the part
+    of the match that is the token, ``lead`` and ``trail`` the characters of the match around it."""
+    p = pattern.replace("'", "''")
+    return f"""
+        SELECT doc_id, tok, s AS start_offset, s + length(tok) AS end_offset FROM (
+          SELECT doc_id, {group} AS tok, CAST(e - length(full_match) + {lead} AS BIGINT) AS s FROM (
+            SELECT doc_id, full_match, sum(length(gap) + length(full_match)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM (
+              SELECT doc_id, unnest(toks) AS full_match, unnest(gaps[1:len(toks)]) AS gap, unnest(range(len(toks))) AS i FROM (
+                SELECT doc_id, regexp_extract_all(text, '{p}') AS toks, string_split_regex(text, '{p}') AS gaps FROM documents WHERE text IS NOT NULL))))
+        WHERE length(tok) > 0 AND NOT contains(tok, chr(10)) AND NOT contains(tok, chr(12)) AND {where}""".replace("{group}", group).replace("SELECT doc_id, tok AS tok", "SELECT doc_id, full_match AS tok")
+
+
+_T2, _T3 = tokens(PATTERNS["whitespace"]), tokens(PATTERNS["whitespace_no_punctuation"])
+_SIDES = f"""
+    t2 AS MATERIALIZED ({_T2}), t3 AS MATERIALIZED ({_T3}),
+    gold AS (SELECT doc_id, start_offset, end_offset, CAST(length(tok) % 5 AS BIGINT) AS label FROM t2),
+    pred AS (SELECT doc_id, start_offset, end_offset, CAST(CASE WHEN length(tok) % 7 = 0 THEN 0 ELSE length(tok) % 5 END AS BIGINT) AS label,
+                    CAST((start_offset * 37) % 100 AS DOUBLE) / 100 AS confidence FROM t3),
+    joined AS (SELECT g.doc_id, g.start_offset, g.end_offset, g.label, p.doc_id AS pd, p.start_offset AS ps, p.end_offset AS pe, p.label AS pl, p.confidence AS pc
+               FROM gold g FULL JOIN pred p ON g.doc_id = p.doc_id AND g.start_offset = p.start_offset AND g.end_offset = p.end_offset)"""
+_LINES = """
+    raw_lines AS (SELECT doc_id, unnest(l) AS line_text, unnest(range(len(l))) AS line_index FROM (
+        SELECT doc_id, string_split(replace(text, chr(12), chr(10)), chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
+    lines AS (SELECT doc_id, CAST(line_index AS BIGINT) AS line_index, line_text,
+                     CAST(coalesce(sum(length(line_text) + 1) OVER (PARTITION BY doc_id ORDER BY line_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_offset FROM raw_lines)"""
+_PAGES = """
+    raw_pages AS (SELECT doc_id, unnest(l) AS page_text, unnest(range(len(l))) AS page_index FROM (
+        SELECT doc_id, string_split(text, chr(12)) AS l FROM documents WHERE text IS NOT NULL)),
+    pages AS (SELECT doc_id, CAST(page_index AS BIGINT) AS page_index, page_text,
+                     CAST(coalesce(sum(length(page_text) + 1) OVER (PARTITION BY doc_id ORDER BY page_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_offset FROM raw_pages)"""
+_MEASURES = """round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 6) AS "precision", round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 6) AS recall,
+    round(CASE WHEN tp + 0.5 * (fp + fn) = 0 THEN 0 ELSE tp / (tp + 0.5 * (fp + fn)) END, 6) AS f1"""
+_FLAGS = """
+    flags AS (SELECT *, coalesce(pc >= {t}, FALSE) AS above, doc_id IS NOT NULL AND pd IS NOT NULL AND coalesce(pc >= {t}, FALSE) AND coalesce(label = pl, FALSE) AS hit FROM joined)"""
+_REQUEST_PAGES = """
+    docs AS (SELECT request_id, min(text) AS text FROM split_requests WHERE text IS NOT NULL GROUP BY request_id),
+    rp AS (SELECT request_id, unnest(l) AS page_text, unnest(range(len(l))) AS page_index FROM (SELECT request_id, string_split(text, chr(12)) AS l FROM docs)),
+    parts AS (SELECT request_id, CAST(page_index AS BIGINT) AS page_index, page_text,
+        CAST(sum(CASE WHEN page_index = 0 OR regexp_matches(string_split(page_text, chr(10))[1], '[0-9]') THEN 1 ELSE 0 END) OVER (PARTITION BY request_id ORDER BY page_index) - 1 AS BIGINT) AS split_id FROM rp)"""
+_BOXES = """
+    boxes AS (SELECT DISTINCT * FROM extract_bboxes WHERE text IS NOT NULL AND line_index IS NOT NULL),
+    thr AS (SELECT request_id, page_number, round(median(y1 - y0) * 0.8, 6) AS threshold FROM boxes GROUP BY ALL),
+    lb AS (SELECT request_id, page_number, line_index, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1, string_agg(text, ' ' ORDER BY x0, text) AS text FROM boxes GROUP BY request_id, page_number, line_index),
+    gaps AS (SELECT lb.*, threshold, lag(lb.y0) OVER w AS above_y0, lag(lb.text) OVER w AS above_text FROM lb JOIN thr USING (request_id, page_number)
+             WINDOW w AS (PARTITION BY request_id, page_number ORDER BY lb.y1 DESC, line_index)),
+    paras AS (SELECT *, CAST(sum(CASE WHEN coalesce(above_y0 - y1 >= threshold, FALSE) THEN 1 ELSE 0 END) OVER (PARTITION BY request_id, page_number ORDER BY y1 DESC, line_index ROWS UNBOUNDED PRECEDING) AS BIGINT) AS paragraph FROM gaps)"""
+_BEST = """
+    good AS (SELECT * FROM page_categories WHERE confidence IS NOT NULL AND NOT isnan(confidence)),
+    best AS (SELECT request_id, CAST(number AS BIGINT) AS number, category_id, confidence FROM good
+             QUALIFY row_number() OVER (PARTITION BY request_id, number ORDER BY confidence DESC, category_id) = 1)"""
+_SHAPE = """replace(replace(replace(
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(tok, '([.^$*+?{}\\[\\]\\\\|()])', '\\\\\\1', 'g'), '[A-ZÄÖÜ]+', chr(1), 'g'), '[a-zäöüß]+', chr(2), 'g'), '[0-9]', chr(3), 'g'),
+    chr(1), '[A-ZÄÖÜ]+'), chr(2), '[a-zäöüß]+'), chr(3), '\\d')"""
+_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
+_BASE = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+
+
+def _feature(name: str) -> str:
+    s = f"translate(tok, '{_ACCENTED}', '{_BASE}')"
+    if name.startswith("feat_substring_count_"):
+        needle = NEEDLES[name.removeprefix("feat_substring_count_")]
+        return f"(length(lower({s})) - length(replace(lower({s}), '{needle}', ''))) / {len(needle)}"
+    return {
+        "feat_vowel_len": f"len(regexp_extract_all(lower({s}), '[aeiou]'))", "feat_digit_len": f"len(regexp_extract_all({s}, '\\p{{Nd}}'))", "feat_upper_len": f"len(regexp_extract_all({s}, '\\p{{Lu}}'))", "feat_len": f"length({s})",
+        "feat_unique_len": f"len(list_distinct(string_split({s}, '')))", "feat_starts_minus": f"CAST(starts_with({s}, '-') AS INT)", "feat_ends_minus": f"CAST(ends_with({s}, '-') AS INT)",
+    }[name]
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    feats = ("feat_vowel_len", "feat_digit_len", "feat_upper_len", "feat_len", "feat_unique_len", "feat_starts_minus", "feat_ends_minus", "feat_substring_count_e", "feat_substring_count_sch", "feat_substring_count_period", "feat_substring_count_slash")
+    sums = "SELECT doc_id, count(*) AS spans, CAST(sum(start_offset) AS BIGINT) AS sum_start, CAST(sum(end_offset) AS BIGINT) AS sum_end FROM ({}) GROUP BY doc_id"
+    after_colon = "regexp_extract(full_match, '^.[ \\t]((?s).*)$', 1)"
+    out = {
+        "tokenizer_comparison": f"""WITH {_SIDES}, c AS (
+            SELECT coalesce(d.lang, '?') AS lang, count(*) FILTER (j.doc_id IS NOT NULL AND j.pd IS NOT NULL) AS tp, count(*) FILTER (j.doc_id IS NULL) AS fp, count(*) FILTER (j.pd IS NULL) AS fn
+            FROM joined j JOIN documents d ON d.doc_id = coalesce(j.doc_id, j.pd) GROUP BY ALL) SELECT lang, tp, fp, fn, {_MEASURES} FROM c""",
+        "whitespace_spans": sums.format(_T2),
+        "whitespace_no_punctuation_spans": sums.format(_T3),
+        "connected_text_spans": sums.format(tokens(PATTERNS["connected_text"])),
+        "colon_preceded_spans": sums.format(tokens(PATTERNS["colon_preceded"], after_colon, 2)),
+        "colon_or_whitespace_preceded_spans": sums.format(tokens(r"[ :][ \t](?:(?:[^ \t\n\:\,\!\?\_]+(?:[ \t][^ \t\n\:\!\?\_]+)*)+)", after_colon, 2)),
+        "non_text_spans": sums.format(tokens(PATTERNS["non_text"])),
+        "list_tokenizer_spans": f"""SELECT tokenizer, count(*) AS spans FROM (SELECT doc_id, start_offset, end_offset, min(r) AS r, CASE min(r) WHEN 0 THEN 'whitespace_no_punctuation' ELSE 'whitespace' END AS tokenizer
+            FROM (SELECT *, 0 AS r FROM ({_T3}) UNION ALL SELECT *, 1 AS r FROM ({_T2})) GROUP BY doc_id, start_offset, end_offset) GROUP BY tokenizer""",
+        "page_table": f"WITH {_PAGES} SELECT doc_id, page_index, start_offset, start_offset + length(page_text) AS end_offset, CAST(length(page_text) AS BIGINT) AS chars FROM pages",
+        "line_table": f"WITH {_LINES} SELECT doc_id, count(*) AS lines, CAST(sum(start_offset) AS BIGINT) AS sum_start, CAST(sum(start_offset + length(line_text)) AS BIGINT) AS sum_end FROM lines GROUP BY doc_id",
+        "span_lines": f"""WITH {_LINES}, t AS ({_T2}) SELECT t.doc_id, l.line_index, count(*) AS tokens FROM t ASOF JOIN lines l ON t.doc_id = l.doc_id AND t.start_offset >= l.start_offset GROUP BY ALL""",
+        "horizontal_merge": f"""WITH t AS ({_T2}), g AS (SELECT doc_id, start_offset, end_offset, CAST(length(tok) % 5 AS BIGINT) AS label FROM t),
+            l AS (SELECT *, lag(end_offset) OVER (PARTITION BY doc_id, label ORDER BY start_offset) AS prev FROM g),
+            f AS (SELECT l.*, CASE WHEN prev IS NULL OR start_offset - prev > 5 OR (start_offset > prev AND trim(substr(d.text, CAST(prev + 1 AS BIGINT), start_offset - prev), ' ') <> '') THEN 1 ELSE 0 END AS fresh FROM l JOIN documents d USING (doc_id)),
+            i AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, label ORDER BY start_offset) AS island FROM f)
+            SELECT doc_id, label, min(start_offset) AS start_offset, max(end_offset) AS end_offset, count(*) AS parts FROM i GROUP BY doc_id, label, island""",
+        "uncovered_text": f"""WITH t AS ({_T3}), e AS (SELECT doc_id, start_offset, end_offset FROM t UNION ALL SELECT doc_id, length(text), length(text) FROM documents WHERE text IS NOT NULL),
+            u AS (SELECT *, coalesce(max(end_offset) OVER (PARTITION BY doc_id ORDER BY start_offset, end_offset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM e)
+            SELECT doc_id, CAST(upto AS BIGINT) AS start_offset, CAST(start_offset AS BIGINT) AS end_offset FROM u WHERE start_offset > upto""",
+        "token_neighbours": f"""WITH {_LINES}, t AS ({_T2}), a AS (SELECT t.*, l.line_index FROM t ASOF JOIN lines l ON t.doc_id = l.doc_id AND t.start_offset >= l.start_offset),
+            n AS (SELECT doc_id, coalesce(start_offset - lag(end_offset) OVER w, 100000) AS l, coalesce(lead(start_offset) OVER w - end_offset, 100000) AS r, coalesce(length(lag(tok) OVER w), 0) AS lc FROM a WINDOW w AS (PARTITION BY doc_id, line_index ORDER BY start_offset))
+            SELECT doc_id, CAST(sum(l) AS BIGINT) AS "left", CAST(sum(r) AS BIGINT) AS "right", CAST(sum(lc) AS BIGINT) AS left_chars FROM n GROUP BY doc_id""",
+        "gold_of_tokens": f"""WITH {_SIDES}, h AS (SELECT p.doc_id, p.start_offset, g.label, g.end_offset AS ge, p.end_offset AS pe FROM pred p ASOF LEFT JOIN gold g ON p.doc_id = g.doc_id AND p.start_offset >= g.start_offset)
+            SELECT CASE WHEN ge >= pe THEN label END AS label, count(*) AS tokens, CAST(sum(start_offset) AS BIGINT) AS sum_start FROM h GROUP BY 1""",
+        "vocabulary": f"""WITH c AS (SELECT lower(tok) AS token, count(*) AS freq FROM ({_T2}) GROUP BY 1 HAVING count(*) >= 5)
+            SELECT token, CAST(1 + row_number() OVER (ORDER BY freq DESC, token) AS BIGINT) AS idx, freq FROM c UNION ALL SELECT '<unk>', 0, NULL UNION ALL SELECT '<pad>', 1, NULL""",
+        "string_features": f"SELECT doc_id, {', '.join(f'CAST(sum({_feature(n)}) AS BIGINT) AS {n}' for n in feats)} FROM ({_T2}) GROUP BY doc_id",
+        "suggested_patterns": f"SELECT {_SHAPE} AS pattern, count(*) AS n FROM ({_T2}) GROUP BY 1",
+        "normalized_dates": """SELECT iso, count(*) AS n FROM (SELECT d[7:10] || '-' || d[4:5] || '-' || d[1:2] AS iso FROM (SELECT unnest(regexp_extract_all(text, '\\b\\d\\d\\.\\d\\d\\.\\d{4}\\b')) AS d FROM documents)
+            WHERE CAST(d[1:2] AS INT) < 32 AND CAST(d[4:5] AS INT) < 13 AND CAST(d[7:10] AS INT) BETWEEN 1901 AND 2099) GROUP BY iso""",
+        "evaluation_by_label": f"""WITH {_SIDES}, {_FLAGS.format(t=0.5)}, r AS (SELECT unnest(list_distinct([label, pl])) AS l, * FROM flags),
+            c AS (SELECT l AS label, count(*) FILTER (hit) AS tp, count(*) FILTER (pl IS NOT NULL AND above AND NOT hit) AS fp, count(*) FILTER (label IS NOT NULL AND NOT hit) AS fn FROM (SELECT l, hit, above, pl, label FROM r WHERE l IS NOT NULL) GROUP BY l)
+            SELECT label, tp, fp, fn, {_MEASURES} FROM c""".replace("l AS label, count(*) FILTER (hit)", "l AS label, count(*) FILTER (hit)"),
+        "threshold_sweep": _sweep(),
+        "best_thresholds": f"WITH s AS ({_sweep()}) SELECT label, threshold, f1 FROM s QUALIFY row_number() OVER (PARTITION BY label ORDER BY f1 DESC, threshold) = 1",
+        "confusion_matrix": f"WITH {_SIDES} SELECT label AS actual, pl AS predicted, count(*) AS n FROM joined WHERE doc_id IS NOT NULL AND pd IS NOT NULL GROUP BY ALL",
+        "overlapping_errors": f"""WITH {_SIDES}, w AS (SELECT pd, ps, pe FROM joined WHERE doc_id IS NULL), h AS (SELECT w.*, g.end_offset AS ge FROM w ASOF JOIN gold g ON w.pd = g.doc_id AND w.pe > g.start_offset)
+            SELECT pd AS doc_id, count(*) AS n, CAST(sum(ps) AS BIGINT) AS sum_start FROM h WHERE ps < ge GROUP BY pd""",
+        "missing_spans": f"WITH {_SIDES} SELECT label, count(*) AS n FROM joined WHERE pd IS NULL GROUP BY label",
+        "label_votes": f"""WITH {_SIDES}, v AS (SELECT doc_id, label, sum(confidence) AS w FROM pred WHERE confidence >= 0.1 GROUP BY ALL)
+            SELECT doc_id, label FROM v QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 6) DESC, label) = 1""",
+        "prioritized_rows": f"""WITH {_SIDES}, {_FLAGS.format(t=0.0)} SELECT pd AS doc_id, pl AS label, ps AS start_offset, hit AS true_positive FROM flags WHERE pd IS NOT NULL
+            QUALIFY row_number() OVER (PARTITION BY pd, pl ORDER BY CASE WHEN hit THEN 0 ELSE 1 END, ps, pe) = 1""",
+        "name_categories": f"""WITH {_NAMED} SELECT doc_id, page_index, category_id FROM named""",
+        "category_evaluation": _category_eval(),
+        "category_weighted_measures": f"""WITH e AS ({_category_eval()}) SELECT round(sum("precision" * (tp + fn)) / sum(tp + fn), 6) AS "precision", round(sum(recall * (tp + fn)) / sum(tp + fn), 6) AS recall, round(sum(f1 * (tp + fn)) / sum(tp + fn), 6) AS f1 FROM e""",
+        "best_page_categories": f"WITH {_BEST} SELECT * FROM best",
+        "document_categories": """WITH g AS (SELECT request_id, number, category_id, coalesce(max(CASE WHEN NOT isnan(confidence) THEN confidence END), 0) AS c FROM page_categories GROUP BY ALL),
+            p AS (SELECT request_id, count(DISTINCT number) AS pages FROM g GROUP BY ALL) SELECT request_id, category_id, CAST(sum(CAST(c AS DECIMAL(18,9))) AS DOUBLE) / any_value(pages) AS confidence FROM g JOIN p USING (request_id) GROUP BY request_id, category_id""",
+        "category_consensus": f"WITH {_BEST} SELECT request_id, CAST(CASE WHEN count(DISTINCT category_id) = 1 THEN min(category_id) ELSE 0 END AS BIGINT) AS category_id FROM best GROUP BY request_id",
+        "split_groups": f"WITH {_REQUEST_PAGES} SELECT request_id, page_index, split_id FROM parts",
+        "split_documents": f"WITH {_REQUEST_PAGES} SELECT request_id, split_id, CAST(sum(length(page_text)) + count(*) - 1 AS BIGINT) AS chars, min(page_index) AS first_page, count(*) AS n_pages FROM parts GROUP BY request_id, split_id",
+        "first_page_lines": f"""WITH {_PAGES}, p AS (SELECT pages.*, coalesce(d.category_id, 0) AS category_id FROM pages JOIN documents d USING (doc_id)),
+            l AS (SELECT DISTINCT doc_id, page_index, category_id, unnest(string_split(page_text, chr(10))) AS line FROM p), n AS (SELECT category_id, count(*) FILTER (page_index = 0) AS firsts, count(*) FILTER (page_index > 0) AS others FROM p GROUP BY ALL),
+            s AS (SELECT category_id, line, count(*) FILTER (page_index = 0) AS f, count(*) FILTER (page_index > 0) AS o FROM l WHERE trim(line, ' ') <> '' GROUP BY ALL)
+            SELECT category_id, line FROM s JOIN n USING (category_id) WHERE f = firsts AND NOT (others > 0 AND o = others)""",
+        "split_evaluation": f"""WITH {_PAGES}, j AS (SELECT coalesce(d.lang, '?') AS lang, page_index = 0 AS a, regexp_matches(string_split(page_text, chr(10))[1], '[0-9]') AS p FROM pages JOIN documents d USING (doc_id)),
+            c AS (SELECT lang, CAST(grouping(lang) AS INT) AS overall, count(*) FILTER (a AND p) AS tp, count(*) FILTER (NOT a AND p) AS fp, count(*) FILTER (a AND NOT p) AS fn, count(*) FILTER (NOT a AND NOT p) AS tn FROM j GROUP BY ROLLUP (lang))
+            SELECT lang, overall, tp, fp, fn, tn, {_MEASURES} FROM c""",
+        "line_heights": f"WITH {_BOXES} SELECT request_id, CAST(page_number AS BIGINT) AS page_number, threshold FROM thr",
+        "line_boxes": f"WITH {_BOXES} SELECT request_id, CAST(page_number AS BIGINT) AS page_number, CAST(line_index AS BIGINT) AS line_index, x0, x1, y0, y1, CAST(length(text) AS BIGINT) AS chars FROM lb",
+        "line_distance_paragraphs": f"WITH {_BOXES} SELECT request_id, CAST(page_number AS BIGINT) AS page_number, max(paragraph) + 1 AS paragraphs, count(*) AS lines FROM paras GROUP BY ALL",
+        "line_distance_sentences": f"""WITH {_BOXES}, b AS (SELECT *, CASE WHEN coalesce(above_y0 - y1 >= threshold, FALSE) OR coalesce(regexp_matches(above_text, '[.!?]\\s*$'), FALSE) THEN 1 ELSE 0 END AS fresh FROM gaps)
+            SELECT request_id, CAST(page_number AS BIGINT) AS page_number, CAST(sum(fresh) + 1 AS BIGINT) AS sentences FROM b GROUP BY ALL""",
+        "box_checks": f"""WITH {_BOXES} SELECT request_id, CAST(count(*) FILTER (NOT (round(x0, 2) < round(x1, 2) AND round(y0, 2) < round(y1, 2) AND round(x0, 2) >= 0 AND round(y0, 2) >= 0 AND round(x1, 2) <= 842 AND round(y1, 2) <= 842)) AS BIGINT) AS invalid,
+            round(sum(round(abs(x0 - x1) * abs(y0 - y1), 3)), 1) AS area FROM boxes GROUP BY request_id""",
+        "rare_patterns": f"""WITH t AS ({_T2}), f AS (SELECT CAST(length(tok) % 5 AS INT) AS label, {_SHAPE} AS pattern FROM t), s AS (SELECT label, pattern, count(*) AS n FROM f GROUP BY ALL),
+            u AS (SELECT *, sum(n) OVER (PARTITION BY label ORDER BY n, pattern) AS upto, sum(n) OVER (PARTITION BY label) AS total FROM s) SELECT label, CAST(sum(n) AS BIGINT) AS n FROM u WHERE upto <= total * 0.1 GROUP BY label""",
+        "pattern_cover": f"""WITH t AS ({_T2}), f AS (SELECT {_SHAPE} AS pattern, substr(tok, 1, 1) || length(tok) AS a FROM t), s AS (SELECT pattern, -count(*) AS r FROM f GROUP BY ALL),
+            b AS (SELECT DISTINCT a, pattern, r FROM f JOIN s USING (pattern) QUALIFY row_number() OVER (PARTITION BY a ORDER BY r, pattern) = 1) SELECT pattern, r AS rank, count(*) AS "new" FROM b GROUP BY ALL""",
+        "document_changes": """WITH a AS (SELECT request_id, max(received_at) AS s FROM split_requests WHERE received_at < '2024-01-01' GROUP BY ALL), b AS (SELECT request_id, max(received_at) AS s FROM split_requests GROUP BY ALL)
+            SELECT CASE WHEN a.request_id IS NULL THEN 'new' WHEN b.request_id IS NULL THEN 'deleted' WHEN b.s > a.s THEN 'updated' ELSE 'unchanged' END AS change, count(*) AS n FROM a FULL JOIN b USING (request_id) GROUP BY 1""",
+        "response_payloads": """SELECT request_id, count(DISTINCT number) AS pages, count(*) AS categories FROM page_categories GROUP BY request_id HAVING count(*) <= 10000""",
+    }
+    return out
+
+
+def _sweep() -> str:
+    thresholds = ", ".join(f"{0.05 * i:.2f}" for i in range(1, 20))
+    return f"""WITH {_SIDES}, r AS (SELECT unnest(list_distinct([label, pl])) AS l, label, pl, pc, doc_id IS NOT NULL AND pd IS NOT NULL AND coalesce(label = pl, FALSE) AS same FROM joined),
+        x AS (SELECT l, CAST(t AS DOUBLE) AS threshold, same AND pc >= t AS hit, pl IS NOT NULL AND pc >= t AS made, label IS NOT NULL AS has FROM r, (SELECT unnest([{thresholds}]::DOUBLE[]) AS t) WHERE l IS NOT NULL),
+        c AS (SELECT l AS label, threshold, count(*) FILTER (coalesce(hit, FALSE)) AS tp, count(*) FILTER (made AND NOT hit) AS fp, count(*) FILTER (has AND NOT coalesce(hit, FALSE)) AS fn FROM x GROUP BY ALL)
+        SELECT label, threshold, tp, fp, fn, {_MEASURES} FROM c"""
+
+
+_NAMED = _PAGES + """,
+    own AS (SELECT p.doc_id, p.page_index, c.category_id FROM pages p JOIN categories c ON c.fallback_name IS NOT NULL AND c.category_id <> 0 AND contains(lower(p.page_text), c.fallback_name)
+            QUALIFY row_number() OVER (PARTITION BY p.doc_id, p.page_index ORDER BY length(c.fallback_name) DESC, c.category_id) = 1),
+    named AS (SELECT p.doc_id, p.page_index, coalesce(o.category_id, f.category_id) AS category_id FROM pages p LEFT JOIN own o USING (doc_id, page_index)
+              LEFT JOIN (SELECT doc_id, arg_min(category_id, page_index) AS category_id FROM own GROUP BY doc_id) f USING (doc_id))"""
+
+
+def _category_eval() -> str:
+    return f"""WITH {_NAMED}, j AS (SELECT d.category_id AS a, n.category_id AS p FROM documents d LEFT JOIN named n ON n.doc_id = d.doc_id AND n.page_index = 0 WHERE d.category_id IS NOT NULL),
+        k AS (SELECT a AS class FROM j UNION SELECT p FROM j WHERE p IS NOT NULL),
+        c AS (SELECT class, count(*) FILTER (a = class AND coalesce(p = class, FALSE)) AS tp, count(*) FILTER (a <> class AND p = class) AS fp, count(*) FILTER (a = class AND NOT coalesce(p = class, FALSE)) AS fn, count(*) AS total FROM k, j GROUP BY class)
+        SELECT class, tp, fp, fn, total - tp - fp - fn AS tn, {_MEASURES} FROM c"""

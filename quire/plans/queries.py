@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.operators import nested
+from quire.functions import geometry, normalize, strings
+from quire.operators import categorize, evaluate, features, layout, merge, nested, patterns, spans, split
+from quire.sources import payloads, project as sources
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -49,5 +51,366 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return project.unionByName(split).distinct()
 
 
+# ---------------------------------------------------------------- documents, spans, lines, pages
+
+
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return _read(spark, folder, "documents").select("doc_id", "text", "lang", "category_id", "updated_at")
+
+
+def _gold(spark: SparkSession, folder: str) -> DataFrame:
+    """Whitespace tokens as right annotations; the label is a fixed function of the span."""
+    t = spans.tokenize(_documents(spark, folder), "doc_id", "text", "whitespace")
+    return t.select("doc_id", "start_offset", "end_offset", (F.length("offset_string") % 5).cast("long").alias("label"))
+
+
+def _predicted(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens without punctuation as predictions, with a confidence that is a fixed function of the span."""
+    t = spans.tokenize(_documents(spark, folder), "doc_id", "text", "whitespace_no_punctuation")
+    size = F.length("offset_string")
+    return t.select("doc_id", "start_offset", "end_offset", F.when(size % 7 == 0, 0).otherwise(size % 5).cast("long").alias("label"), (((F.col("start_offset") * 37) % 100) / 100).alias("confidence"))
+
+
+def tokenizer_comparison(spark: SparkSession, folder: str) -> DataFrame:
+    """Two tokenizers compared span by span: counts and measures per language."""
+    docs = _documents(spark, folder)
+    a = spans.tokenize(docs, "doc_id", "text", "whitespace").select("doc_id", "start_offset", "end_offset", F.lit(1).alias("g"))
+    b = spans.tokenize(docs, "doc_id", "text", "whitespace_no_punctuation").select("doc_id", "start_offset", "end_offset", F.lit(1).alias("p"))
+    # Both sides of one document meet by a union and one aggregation, as each has a span at most once.
+    both = a.withColumn("p", F.lit(0)).unionByName(b.withColumn("g", F.lit(0))).groupBy("doc_id", "start_offset", "end_offset").agg(F.max("g").alias("g"), F.max("p").alias("p"))
+    per_doc = both.groupBy("doc_id").agg(F.sum(F.col("g") * F.col("p")).alias("tp"), F.sum((1 - F.col("g")) * F.col("p")).alias("fp"), F.sum(F.col("g") * (1 - F.col("p"))).alias("fn"))
+    by_lang = per_doc.join(docs.select("doc_id", "lang"), on="doc_id").groupBy(F.coalesce("lang", F.lit("?")).alias("lang")).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    return evaluate.measures(by_lang)
+
+
+def _span_sums(tokenizer: str):
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        t = spans.tokenize(_documents(spark, folder), "doc_id", "text", tokenizer)
+        return t.groupBy("doc_id").agg(F.count(F.lit(1)).alias("spans"), F.sum("start_offset").alias("sum_start"), F.sum("end_offset").alias("sum_end"))
+
+    query.__doc__ = f"Spans of the {tokenizer} tokenizer: number and sums of offsets per document."
+    return query
+
+
+def list_tokenizer_spans(spark: SparkSession, folder: str) -> DataFrame:
+    t = spans.list_tokenizer(_documents(spark, folder), "doc_id", "text", ["whitespace_no_punctuation", "whitespace"])
+    return t.groupBy("tokenizer").agg(F.count(F.lit(1)).alias("spans"))
+
+
+def page_table(spark: SparkSession, folder: str) -> DataFrame:
+    p = spans.pages(_documents(spark, folder), "doc_id", "text")
+    return p.select("doc_id", F.col("page_index").cast("long").alias("page_index"), "start_offset", "end_offset", F.length("page_text").cast("long").alias("chars"))
+
+
+def line_table(spark: SparkSession, folder: str) -> DataFrame:
+    p = spans.lines(_documents(spark, folder), "doc_id", "text")
+    return p.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.sum("start_offset").alias("sum_start"), F.sum("end_offset").alias("sum_end"))
+
+
+def span_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens per line: the line index of each span by an interval join."""
+    docs = _documents(spark, folder)
+    t = spans.tokenize(docs, "doc_id", "text", "whitespace")
+    at = spans.locate(t, "doc_id", spans.lines(docs, "doc_id", "text").select("doc_id", "line_index", "start_offset", "end_offset"), "line_index")
+    return at.groupBy("doc_id", F.col("line_index").cast("long").alias("line_index")).agg(F.count(F.lit(1)).alias("tokens"))
+
+
+def horizontal_merge(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder)
+    merged = spans.merge_horizontal(_gold(spark, folder), docs.select("doc_id", "text"), "doc_id", ["doc_id", "label"])
+    return merged.select("doc_id", "label", "start_offset", "end_offset", "parts")
+
+
+def uncovered_text(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder).filter("text is not null")
+    return spans.missing_offsets(_predicted(spark, folder), docs.select("doc_id", F.length("text").alias("length")), "doc_id")
+
+
+def token_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder)
+    t = spans.tokenize(docs, "doc_id", "text", "whitespace")
+    at = spans.locate(t, "doc_id", spans.lines(docs, "doc_id", "text").select("doc_id", "line_index", "start_offset", "end_offset"), "line_index")
+    near = spans.neighbours(at, "doc_id", "line_index")
+    return near.groupBy("doc_id").agg(F.sum("l_dist0").alias("left"), F.sum("r_dist0").alias("right"), F.sum(F.length("l_text0")).alias("left_chars"))
+
+
+def gold_of_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Each prediction's containing right span: how many predictions take which label."""
+    hit = spans.contained_in(_predicted(spark, folder), _gold(spark, folder), "doc_id", "label")
+    return hit.groupBy("label").agg(F.count(F.lit(1)).alias("tokens"), F.sum("start_offset").alias("sum_start"))
+
+
+def vocabulary(spark: SparkSession, folder: str) -> DataFrame:
+    t = spans.tokenize(_documents(spark, folder), "doc_id", "text", "whitespace").select(F.lower("offset_string").alias("token"))
+    return spans.vocabulary(t, "token", min_freq=5)
+
+
+def string_features(spark: SparkSession, folder: str) -> DataFrame:
+    """String features of all tokens, summed per document."""
+    t = spans.tokenize(_documents(spark, folder), "doc_id", "text", "whitespace")
+    feats = strings.feature_columns(F.col("offset_string"))
+    picked = {n: feats[n] for n in ("feat_vowel_len", "feat_digit_len", "feat_upper_len", "feat_len", "feat_unique_len", "feat_starts_minus", "feat_ends_minus", "feat_substring_count_e", "feat_substring_count_sch", "feat_substring_count_period", "feat_substring_count_slash")}
+    return t.withColumns(picked).groupBy("doc_id").agg(*[F.sum(n).alias(n) for n in picked])
+
+
+def suggested_patterns(spark: SparkSession, folder: str) -> DataFrame:
+    t = spans.tokenize(_documents(spark, folder), "doc_id", "text", "whitespace").select(strings.suggest_pattern(F.col("offset_string")).alias("pattern"))
+    return t.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+
+
+def normalized_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """Amounts in the documents, read as numbers and summed per document."""
+    t = spans.regex_spans(_documents(spark, folder), "doc_id", "text", r"\d{1,3}(?:[.,]\d{3})*[.,]\d{2}(?!\d)")
+    return t.withColumn("v", normalize.to_float(F.col("offset_string"))).groupBy("doc_id").agg(F.count("v").alias("numbers"), F.round(F.sum("v"), 2).alias("total"))
+
+
+def normalized_dates(spark: SparkSession, folder: str) -> DataFrame:
+    t = spans.regex_spans(_documents(spark, folder), "doc_id", "text", r"\b\d\d\.\d\d\.\d{4}\b")
+    return t.withColumn("iso", normalize.to_date(F.col("offset_string"))).filter("iso is not null").groupBy("iso").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- evaluation
+
+
+def evaluation_by_label(spark: SparkSession, folder: str) -> DataFrame:
+    flagged = evaluate.with_flags(evaluate.compare_strict(_gold(spark, folder), _predicted(spark, folder), ["doc_id", "start_offset", "end_offset"]), 0.5)
+    return evaluate.measures(evaluate.per_label(flagged))
+
+
+def threshold_sweep(spark: SparkSession, folder: str) -> DataFrame:
+    joined = evaluate.compare_strict(_gold(spark, folder), _predicted(spark, folder), ["doc_id", "start_offset", "end_offset"])
+    return evaluate.threshold_sweep(joined)
+
+
+def best_thresholds(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluate.best_threshold(threshold_sweep(spark, folder))
+
+
+def confusion_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    joined = evaluate.compare_strict(_gold(spark, folder), _predicted(spark, folder), ["doc_id", "start_offset", "end_offset"])
+    return evaluate.confusion(joined.filter("is_matched"), None, "label", "label_predicted")
+
+
+def overlapping_errors(spark: SparkSession, folder: str) -> DataFrame:
+    joined = evaluate.compare_strict(_gold(spark, folder), _predicted(spark, folder), ["doc_id", "start_offset", "end_offset"])
+    wrong = joined.filter("false_positive and not is_matched").select(F.col("doc_id_predicted").alias("doc_id"), F.col("start_offset_predicted").alias("start_offset"), F.col("end_offset_predicted").alias("end_offset"))
+    hit = evaluate.overlapping_false_positives(wrong, _gold(spark, folder), "doc_id")
+    return hit.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("start_offset").alias("sum_start"))
+
+
+def overlapping_comparison(spark: SparkSession, folder: str) -> DataFrame:
+    """Comparison by label and touching spans, over the spans of unusual length that keep the outer join of a document small."""
+    g = _gold(spark, folder).filter("end_offset - start_offset >= 19")
+    p = _predicted(spark, folder).filter("end_offset - start_offset >= 19")
+    return evaluate.compare_overlapping(g, p, "doc_id").agg(*evaluate.counts())
+
+
+def missing_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Right spans that the tokenizer did not make."""
+    p = _predicted(spark, folder).select("doc_id", "start_offset", "end_offset")
+    lost = _gold(spark, folder).join(p, on=["doc_id", "start_offset", "end_offset"], how="left_anti")
+    return lost.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def label_votes(spark: SparkSession, folder: str) -> DataFrame:
+    """For each document the label its confident predictions vote for."""
+    return evaluate.weighted_vote(_predicted(spark, folder).filter("confidence >= 0.1"), "doc_id", "label", "confidence")
+
+
+def prioritized_rows(spark: SparkSession, folder: str) -> DataFrame:
+    joined = evaluate.compare_strict(_gold(spark, folder), _predicted(spark, folder), ["doc_id", "start_offset", "end_offset"])
+    best = evaluate.prioritize(joined, ["doc_id_predicted", "label_predicted"], ["start_offset_predicted", "end_offset_predicted"])
+    return best.select(F.col("doc_id_predicted").alias("doc_id"), F.col("label_predicted").alias("label"), F.col("start_offset_predicted").alias("start_offset"), "true_positive")
+
+
+# ---------------------------------------------------------------- categories and splitting
+
+
+def name_categories(spark: SparkSession, folder: str) -> DataFrame:
+    p = spans.pages(_documents(spark, folder), "doc_id", "text")
+    return categorize.by_name(p, _read(spark, folder, "categories"), "doc_id").withColumn("page_index", F.col("page_index").cast("long"))
+
+
+def category_evaluation(spark: SparkSession, folder: str) -> DataFrame:
+    """The category named on a document's first page against the one on record, one class against the rest."""
+    named = name_categories(spark, folder).filter("page_index = 0").select("doc_id", F.col("category_id").alias("predicted"))
+    actual = _documents(spark, folder).select("doc_id", F.col("category_id").alias("actual"))
+    return evaluate.per_class(actual.join(named, on="doc_id", how="left").filter("actual is not null"))
+
+
+def category_weighted_measures(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluate.weighted_measures(category_evaluation(spark, folder))
+
+
+def best_page_categories(spark: SparkSession, folder: str) -> DataFrame:
+    best = categorize.best_per_page(_read(spark, folder, "page_categories"), ["request_id", "number"])
+    return best.select("request_id", F.col("number").cast("long").alias("number"), "category_id", "confidence")
+
+
+def document_categories(spark: SparkSession, folder: str) -> DataFrame:
+    return categorize.document_confidence(_read(spark, folder, "page_categories"), "request_id", "number")
+
+
+def category_consensus(spark: SparkSession, folder: str) -> DataFrame:
+    best = categorize.best_per_page(_read(spark, folder, "page_categories"), ["request_id", "number"])
+    return categorize.consensus(best, "request_id", "number")
+
+
+def _requests_as_pages(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "split_requests").filter("text is not null").groupBy("request_id").agg(F.min("text").alias("text"))
+    return spans.pages(docs, "request_id", "text").withColumn("kind", F.lit("all"))
+
+
+def split_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts of the split requests: a page begins one if its first line has a number in it."""
+    p = _requests_as_pages(spark, folder).withColumn("is_first_page", F.regexp_extract("page_text", r"^([^\n]*)", 1).rlike("[0-9]"))
+    parts = split.group_pages(p, "request_id")
+    return parts.select("request_id", F.col("page_index").cast("long").alias("page_index"), "split_id")
+
+
+def split_documents(spark: SparkSession, folder: str) -> DataFrame:
+    p = _requests_as_pages(spark, folder).withColumn("is_first_page", F.regexp_extract("page_text", r"^([^\n]*)", 1).rlike("[0-9]"))
+    parts = split.sub_documents(split.group_pages(p, "request_id"), "request_id")
+    return parts.select("request_id", "split_id", F.length("text").cast("long").alias("chars"), F.col("first_page").cast("long").alias("first_page"), F.col("n_pages").cast("long").alias("n_pages"))
+
+
+def first_page_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines that all first pages of a category's documents share and not all its other pages."""
+    docs = _documents(spark, folder)
+    p = spans.pages(docs, "doc_id", "text").join(docs.select("doc_id", F.coalesce("category_id", F.lit(0)).alias("category_id")), on="doc_id")
+    return split.exclusive_first_page_lines(p, "doc_id", "category_id")
+
+
+def split_evaluation(spark: SparkSession, folder: str) -> DataFrame:
+    """First pages told by a number in the first line, against the documents' real first pages, overall and per language."""
+    docs = _documents(spark, folder)
+    p = spans.pages(docs, "doc_id", "text").join(docs.select("doc_id", F.coalesce("lang", F.lit("?")).alias("lang")), on="doc_id")
+    judged = p.select("lang", (F.col("page_index") == 0).alias("actual"), F.regexp_extract("page_text", r"^([^\n]*)", 1).rlike("[0-9]").alias("predicted"))
+    return split.evaluate_split(judged, "lang")
+
+
+# ---------------------------------------------------------------- layout
+
+
+def _boxes(spark: SparkSession, folder: str) -> DataFrame:
+    return _read(spark, folder, "extract_bboxes").filter("text is not null and line_index is not null").distinct()
+
+
+def line_heights(spark: SparkSession, folder: str) -> DataFrame:
+    t = layout.median_line_height(_boxes(spark, folder), ["request_id", "page_number"])
+    return t.select("request_id", F.col("page_number").cast("long").alias("page_number"), "threshold")
+
+
+def line_boxes(spark: SparkSession, folder: str) -> DataFrame:
+    b = layout.line_boxes(_boxes(spark, folder), ["request_id", "page_number"], "line_index")
+    return b.select("request_id", F.col("page_number").cast("long").alias("page_number"), F.col("line_index").cast("long").alias("line_index"), "x0", "x1", "y0", "y1", F.length("text").cast("long").alias("chars"))
+
+
+def line_distance_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    b = _boxes(spark, folder)
+    page = ["request_id", "page_number"]
+    p = layout.paragraphs(layout.line_boxes(b, page, "line_index"), page, "line_index", layout.median_line_height(b, page))
+    return p.groupBy("request_id", F.col("page_number").cast("long").alias("page_number")).agg((F.max("paragraph") + 1).alias("paragraphs"), F.count(F.lit(1)).alias("lines"))
+
+
+def line_distance_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    b = _boxes(spark, folder)
+    page = ["request_id", "page_number"]
+    p = layout.sentences(layout.line_boxes(b, page, "line_index"), page, "line_index", layout.median_line_height(b, page))
+    return p.groupBy("request_id", F.col("page_number").cast("long").alias("page_number")).agg((F.max("sentence") + 1).alias("sentences"))
+
+
+def box_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Boxes per request that are not valid on a page of A4 landscape or portrait size, and the sum of their areas."""
+    b = _boxes(spark, folder)
+    ok = geometry.is_valid(F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1"), F.lit(842.0), F.lit(842.0))
+    return b.groupBy("request_id").agg(F.sum(F.when(ok, 0).otherwise(1)).alias("invalid"), F.round(F.sum(geometry.area(F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1"))), 1).alias("area"))
+
+
+# ---------------------------------------------------------------- patterns, outliers, models, sources
+
+
+def pattern_evaluation(spark: SparkSession, folder: str) -> DataFrame:
+    names = {"numbers": r"\d[\d.,]*", "capitals": r"[A-Z]{2,}", "whole": r"[^ \n\t\f]+"}
+    return patterns.evaluate_patterns(_documents(spark, folder), _gold(spark, folder), "doc_id", names)
+
+
+def pattern_cover(spark: SparkSession, folder: str) -> DataFrame:
+    """Token shapes as patterns, ranked by frequency; those that are the best of some token's first letter and length."""
+    t = spans.tokenize(_documents(spark, folder), "doc_id", "text", "whitespace").select(strings.suggest_pattern(F.col("offset_string")).alias("pattern"), F.concat(F.substring("offset_string", 1, 1), F.length("offset_string").cast("string")).alias("annotation_id"))
+    sizes = t.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    ranks = sizes.select("pattern", (-F.col("n")).alias("rank"))
+    return patterns.greedy_cover(t.distinct(), ranks)
+
+
+def rare_patterns(spark: SparkSession, folder: str) -> DataFrame:
+    t = spans.tokenize(_documents(spark, folder), "doc_id", "text", "whitespace").select((F.length("offset_string") % 5).alias("label"), strings.suggest_pattern(F.col("offset_string")).alias("pattern"), F.concat_ws("-", "doc_id", "start_offset").alias("annotation_id"))
+    return patterns.rare_pattern_outliers(t).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def document_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """Change of each split request between the deliveries before 2024 and all of them."""
+    r = _read(spark, folder, "split_requests")
+    return sources.changes(r.filter("received_at < '2024-01-01'"), r, "request_id", "received_at").groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+
+
+def response_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """Categorization responses encoded, decoded again and counted per request. The request of a tenth of all rows is too large for one payload."""
+    rows = _read(spark, folder, "page_categories")
+    small = rows.groupBy("request_id").agg(F.count(F.lit(1)).alias("k")).filter("k <= 10000")
+    sent = payloads.categorize_responses(rows.join(small.select("request_id"), on="request_id", how="left_semi"))
+    back = sent.select("request_id", payloads.decode(F.col("payload"), "categorize_response", "20241227").alias("r"))
+    return back.select("request_id", F.size("r.pages").cast("long").alias("pages"), F.aggregate("r.pages", F.lit(0).cast("long"), lambda acc, p: acc + F.size(p["categories"])).alias("categories"))
+
+
+def bio_tags(spark: SparkSession, folder: str) -> DataFrame:
+    """Tags of the tokens without punctuation over the merged annotations."""
+    docs = _documents(spark, folder)
+    ann = spans.merge_horizontal(_gold(spark, folder), docs.select("doc_id", "text"), "doc_id", ["doc_id", "label"]).select("doc_id", "start_offset", "end_offset", F.col("label").cast("string").alias("label"))
+    tags = merge.tag_bio(_predicted(spark, folder), ann, "doc_id")
+    return tags.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+def view_annotations(spark: SparkSession, folder: str) -> DataFrame:
+    """Amounts and tokens competing for the same text: what a reader is shown per document."""
+    docs = _documents(spark, folder)
+    amounts = spans.regex_spans(docs, "doc_id", "text", r"\d[\d.,]*").select("doc_id", "start_offset", "end_offset", F.lit("amount").alias("label"), F.lit(0.9).alias("confidence"))
+    words = spans.regex_spans(docs, "doc_id", "text", r"[^ \n\t\f]*\d[^ \n\t\f]*").select("doc_id", "start_offset", "end_offset", F.lit("word").alias("label"), F.lit(0.5).alias("confidence"))
+    both = amounts.unionByName(words).withColumns({"set_id": F.lit(1), "threshold": F.lit(0.1), "is_correct": F.lit(False), "revised": F.lit(False), "multiple": F.lit(True)})
+    return merge.view_annotations(both, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("shown"), F.sum("start_offset").alias("sum_start"))
+
+
+def numeric_merge(spark: SparkSession, folder: str) -> DataFrame:
+    """Digit groups joined over single blanks as long as they still read as one number."""
+    import re
+
+    docs = _documents(spark, folder)
+    t = spans.regex_spans(docs, "doc_id", "text", r"\d+").select("doc_id", F.lit("number").alias("label"), "start_offset", "end_offset", F.lit(1.0).alias("confidence"))
+    shape = re.compile(r"\d{1,3}(?: \d{3})*|\d+")
+    return merge.merge_while(t, docs.select("doc_id", "text").filter("text is not null"), "doc_id", lambda s: shape.fullmatch(s) is not None, 1).select("doc_id", "start_offset", "end_offset", "parts")
+
+
+def vertical_merge(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells that stand below each other made one annotation, per request and page."""
+    b = _boxes(spark, folder).select("request_id", F.col("page_number").cast("string").alias("label"), F.col("line_index").cast("long").alias("line_index"), F.col("bbox_key").alias("start_offset"), (F.col("bbox_key") + F.length("text")).cast("long").alias("end_offset"), "x0", "x1")
+    return merge.merge_vertical(b.dropDuplicates(["request_id", "start_offset"]), "request_id").groupBy("request_id").agg(F.countDistinct("annotation_id").alias("annotations"), F.count(F.lit(1)).alias("spans"))
+
+
+def label_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """A forest that tells page categories' names from the document's source features; share predicted right per category."""
+    docs = _read(spark, folder, "documents").filter("category_id is not null").select("doc_id", F.col("category_id").cast("string").alias("label"), "text").filter("text <> ''")
+    feats = {"a": strings.digit_count(F.col("text")), "b": strings.upper_count(F.col("text")), "c": F.length("text"), "d": strings.count_substring(F.col("text"), "€"), "e": strings.count_substring(F.col("text"), "\n")}
+    frame = docs.select("doc_id", "label", *[c.cast("double").alias(n) for n, c in feats.items()])
+    model = features.fit_label_classifier(frame, list(feats), "label", trees=10, depth=6)
+    scored = features.predict_labels(model, frame, list(feats))
+    return scored.groupBy("label").agg(F.round(F.avg((F.col("label") == F.col("label_predicted")).cast("double")), 6).alias("right"), F.count(F.lit(1)).alias("n"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p6_found,)}
+    named = [
+        p6_found, tokenizer_comparison, list_tokenizer_spans, page_table, line_table, span_lines, horizontal_merge, uncovered_text, token_neighbours, gold_of_tokens, vocabulary, string_features, suggested_patterns,
+        normalized_numbers, normalized_dates, evaluation_by_label, threshold_sweep, best_thresholds, confusion_matrix, overlapping_errors, overlapping_comparison, missing_spans, label_votes, prioritized_rows, name_categories,
+        category_evaluation, category_weighted_measures, best_page_categories, document_categories, category_consensus, split_groups, split_documents, first_page_lines, split_evaluation, line_heights, line_boxes,
+        line_distance_paragraphs, line_distance_sentences, box_checks, pattern_evaluation, pattern_cover, rare_patterns, document_changes, response_payloads, bio_tags, view_annotations, numeric_merge, vertical_merge, label_classifier,
+    ]
+    return {f.__name__: f for f in named} | {f"{t}_spans": _span_sums(t) for t in spans.PATTERNS}
