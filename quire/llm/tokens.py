@@ -68,7 +68,8 @@ class Sizer:
         return found, np.array(ids, np.int64)
 
     def size(self, text: str) -> int:
-        return int(self.sizes[self.pieces(text)[1]].sum())
+        _, ids = self.pieces(text)  # may enlarge the tables
+        return int(self.sizes[ids].sum())
 
 
 def sizer(folder: str = FOLDER, vocabulary: str = VOCABULARY) -> Sizer:
