@@ -211,6 +211,8 @@ def block_sentences(block: str, openers: Mapping[str, int]) -> list[tuple[int, i
         closed = end > m.end() and any(roles.get(i) == -1 for i in range(m.end(), end))
         if closed and _cased(block[nxt : nxt + 2]) in "ln" and _reported(block, roles, end, nxt):
             odds = -12.0
+        elif closed and _cased(block[nxt : nxt + 2]) == "u":
+            odds = max(odds, 4.0)  # a capital after a finished quotation
         borders.append((end, nxt, odds))
     if _UNSPACED_SCRIPT.search(block):
         known = {e for e, _, _ in borders}

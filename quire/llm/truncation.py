@@ -182,7 +182,8 @@ def detect_truncated(df: DataFrame, keys: list[str], text: str = "text", source:
         scored = scored.join(own, on=scored["_src"].eqNullSafe(own["s"]) & (length >= own[f"l_{unit}"] - BELOW) & (length <= own[f"l_{unit}"] + ABOVE), how="left").drop("s")
     # Windows of two limits do not overlap by more than a text can lie in; the stronger one counts.
     best = F.greatest(F.coalesce("c_chars", F.lit(0.0)), F.coalesce("c_bytes", F.lit(0.0)))
-    by_bytes = F.coalesce("c_bytes", F.lit(0.0)) > F.coalesce("c_chars", F.lit(0.0))
+    # A limit in code points shows in the bytes too, somewhat blurred; so bytes must be clearly the better explanation.
+    by_bytes = F.coalesce("c_bytes", F.lit(0.0)) > F.coalesce("c_chars", F.lit(0.0)) + 0.01
     scored = scored.withColumn("censored", best).withColumn("limit", F.when(by_bytes, F.col("l_bytes")).otherwise(F.col("l_chars"))).withColumn("unit", F.when(by_bytes, "bytes").when(F.col("l_chars").isNotNull(), "chars")).drop("_chars", "_bytes", "c_chars", "c_bytes", "l_chars", "l_bytes")
     scored = scratch.write(scored, "scored")
     rate = scored.filter("limit is null and ending is not null").groupBy("_src").agg(((F.sum(F.when(F.col("ending") > 5, 1).otherwise(0)) + 0.5) / (F.count(F.lit(1)) + 1)).alias("rate"))
