@@ -63,6 +63,36 @@ def tokenize(df: DataFrame, key: str, text: str, tokenizer: str) -> DataFrame:
     return regex_spans(df, key, text, PATTERNS[tokenizer])
 
 
+def _span_set(compiled, t: str) -> set[tuple[int, int]]:
+    groups = range(1, compiled.groups + 1)
+    out = set()
+    for m in compiled.finditer(t):
+        for x, y in [m.span(g) for g in groups if m.start(g) >= 0] or [m.span()]:
+            if y > x and "\n" not in (piece := t[x:y]) and "\f" not in piece:
+                out.add((x, y))
+    return out
+
+
+def compare_tokenizers(df: DataFrame, keep: Sequence[str], text: str, gold: str, predicted: str) -> DataFrame:
+    """``keep`` and the counts ``tp``, ``fp``, ``fn`` of each text: spans both stock tokenizers make, only the second, only the first.
+
+    Both are run on a text in the same task, so comparing them needs neither a join nor a shuffle. Null texts give none.
+    """
+    src = df.select(*keep, F.col(f"`{text}`").alias("_t")).filter("_t is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = regex.compile(PATTERNS[gold]), regex.compile(PATTERNS[predicted])
+        for batch in batches:
+            tp, fp, fn = [], [], []
+            for t in batch.column("_t").to_pylist():
+                x, y = _span_set(a, t), _span_set(b, t)
+                both = len(x & y)
+                tp.append(both), fp.append(len(y) - both), fn.append(len(x) - both)
+            yield pa.RecordBatch.from_arrays([*batch.select(list(keep)).columns, *[pa.array(c, pa.int64()) for c in (tp, fp, fn)]], names=[*keep, "tp", "fp", "fn"])
+
+    return src.mapInArrow(run, T.StructType([*src.drop("_t").schema.fields, *[T.StructField(c, T.LongType()) for c in ("tp", "fp", "fn")]]))
+
+
 def list_tokenizer(df: DataFrame, key: str, text: str, tokenizers: Sequence[str]) -> DataFrame:
     """Union of several tokenizers' spans; a span made by more than one belongs to the first in the list."""
     parts = [tokenize(df, key, text, t).withColumn("tokenizer", F.lit(t)).withColumn("_rank", F.lit(i)) for i, t in enumerate(tokenizers)]
@@ -75,23 +105,32 @@ def list_tokenizer(df: DataFrame, key: str, text: str, tokenizers: Sequence[str]
 def pages(df: DataFrame, key: str, text: str) -> DataFrame:
     """Pages of each text: ``key``, ``page_index``, ``start_offset``, ``end_offset``, ``page_text``; page ends are form feeds.
 
-    Offsets are running sums over the page lengths, computed inside the row: nothing is shuffled. Null texts have no pages, an
+    Offsets are running sums over the page lengths, taken text by text: nothing is shuffled. Null texts have no pages, an
     empty text has one empty page.
     """
-    return _parts(df, key, text, F.split(F.col(f"`{text}`"), "\f"), "page")
+    return _parts(df, key, text, "\f", "page")
 
 
 def lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """Lines of each text: ``key``, ``line_index``, ``start_offset``, ``end_offset``, ``line_text``; a form feed also ends a line."""
-    return _parts(df, key, text, F.split(F.translate(F.col(f"`{text}`"), "\f", "\n"), "\n"), "line")
+    return _parts(df, key, text, "\n", "line")
+
 
+def _parts(df: DataFrame, key: str, text: str, end: str, name: str) -> DataFrame:
+    src = df.filter(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{key}`").alias("_k"), F.col(f"`{text}`").alias("_t"))
 
-def _parts(df: DataFrame, key: str, text: str, parts: Column, name: str) -> DataFrame:
-    # The running sum folds over the parts once, keeping (next offset, pieces so far).
-    src = df.filter(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{key}`").alias(key), F.posexplode(parts).alias(f"{name}_index", f"{name}_text"))
-    before = Window.partitionBy(key).orderBy(f"{name}_index").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length(f"{name}_text") + 1).over(before), F.lit(0)).cast("long")
-    return src.withColumn("start_offset", start).withColumn("end_offset", F.col("start_offset") + F.length(f"{name}_text")).select(key, f"{name}_index", "start_offset", "end_offset", f"{name}_text")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, no, a, b, s = [], [], [], [], []
+            for i, t in enumerate(batch.column("_t").to_pylist()):
+                start = 0
+                for k, part in enumerate((t.replace("\f", "\n") if end == "\n" else t).split(end)):
+                    at.append(i), no.append(k), a.append(start), b.append(start + len(part)), s.append(part)
+                    start += len(part) + 1
+            yield pa.RecordBatch.from_arrays([batch.column("_k").take(pa.array(at, pa.int64())), pa.array(no, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.string())], names=[key, f"{name}_index", "start_offset", "end_offset", f"{name}_text"])
+
+    fields = [T.StructField(key, df.schema[key].dataType), T.StructField(f"{name}_index", T.IntegerType()), T.StructField("start_offset", T.LongType()), T.StructField("end_offset", T.LongType()), T.StructField(f"{name}_text", T.StringType())]
+    return src.mapInArrow(run, T.StructType(fields))
 
 
 def page_and_line_index(start: Column, text: Column) -> tuple[Column, Column]:

@@ -73,13 +73,9 @@ def _predicted(spark: SparkSession, folder: str) -> DataFrame:
 
 def tokenizer_comparison(spark: SparkSession, folder: str) -> DataFrame:
     """Two tokenizers compared span by span: counts and measures per language."""
-    docs = _documents(spark, folder)
-    a = spans.tokenize(docs, "doc_id", "text", "whitespace").select("doc_id", "start_offset", "end_offset", F.lit(1).alias("g"))
-    b = spans.tokenize(docs, "doc_id", "text", "whitespace_no_punctuation").select("doc_id", "start_offset", "end_offset", F.lit(1).alias("p"))
-    # Both sides of one document meet by a union and one aggregation, as each has a span at most once.
-    both = a.withColumn("p", F.lit(0)).unionByName(b.withColumn("g", F.lit(0))).groupBy("doc_id", "start_offset", "end_offset").agg(F.max("g").alias("g"), F.max("p").alias("p"))
-    per_doc = both.groupBy("doc_id").agg(F.sum(F.col("g") * F.col("p")).alias("tp"), F.sum((1 - F.col("g")) * F.col("p")).alias("fp"), F.sum(F.col("g") * (1 - F.col("p"))).alias("fn"))
-    by_lang = per_doc.join(docs.select("doc_id", "lang"), on="doc_id").groupBy(F.coalesce("lang", F.lit("?")).alias("lang")).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    docs = _documents(spark, folder).select(F.coalesce("lang", F.lit("?")).alias("lang"), "text")
+    counted = spans.compare_tokenizers(docs, ["lang"], "text", "whitespace", "whitespace_no_punctuation")
+    by_lang = counted.groupBy("lang").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
     return evaluate.measures(by_lang)
 
 

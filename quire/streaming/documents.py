@@ -11,7 +11,7 @@ def read_documents(spark: SparkSession, folder: str, schema, files_per_trigger:
 
 def token_counts(documents: DataFrame, key: str, text: str, stamp: str, window: str = "1 day", delay: str = "1 hour") -> DataFrame:
     """Tokens and documents per window of ``stamp``; later rows than ``delay`` are left out, as the watermark says."""
-    sized = documents.withWatermark(stamp, delay).withColumn("_n", F.regexp_count(F.col(text), F.lit(r"[^ \n\t\f]+")))
+    sized = documents.withColumn(stamp, F.col(stamp).cast("timestamp")).withWatermark(stamp, delay).withColumn("_n", F.regexp_count(F.col(text), F.lit(r"[^ \n\t\f]+")))
     return sized.groupBy(F.window(stamp, window).alias("w")).agg(F.count(F.lit(1)).alias("documents"), F.sum("_n").alias("tokens")).select(F.col("w.start").alias("window_start"), "documents", "tokens")
 
 
