@@ -153,14 +153,16 @@ def merge_horizontal(spans: DataFrame, text: DataFrame, key: str, group: Sequenc
     """Neighbouring spans of one group (document, label, ...) joined where only blanks, at most ``max_gap``, lie between.
 
     Gaps and islands: a span starts an island if what precedes it is not joinable. Result: the group, ``start_offset``, ``end_offset``,
-    ``parts`` and the mean ``confidence`` if there is one. ``text`` has ``key`` and ``text``.
+    ``parts`` and the mean ``confidence`` if there is one. ``text`` has ``key`` and ``text``. Spans begin and end in other characters than
+    blanks, so a gap of blanks is a whole run of them: the runs are found map-only and met by their offsets, and no text
+    travels with the spans.
     """
     w = Window.partitionBy(*group).orderBy("start_offset", "end_offset")
-    joined = spans.join(text.select(F.col(key).alias("_k"), F.col("text").alias("_t")), spans[key] == F.col("_k"))
-    prev = F.lag("end_offset").over(w)
-    gap = F.col("start_offset") - F.col("_prev")
-    between = F.substring(F.col("_t"), (F.col("_prev") + 1).cast("int"), gap.cast("int"))
-    flagged = joined.withColumn("_prev", prev).withColumn("_new", F.when(F.col("_prev").isNull() | (gap < 0) | (gap > max_gap) | ((gap > 0) & (F.trim(between) != "")), 1).otherwise(0)).drop("_t", "_k")
+    runs = regex_spans(text, key, "text", rf"(?<! ) {{1,{max_gap}}}(?! )").select(F.col(key).alias("_k"), F.col("start_offset").alias("_a"), F.col("end_offset").alias("_b"))
+    prev = spans.withColumn("_prev", F.lag("end_offset").over(w))
+    joined = prev.join(runs, (prev[key] == runs["_k"]) & (prev["_prev"] == runs["_a"]) & (prev["start_offset"] == runs["_b"]), "left")
+    together = F.col("_a").isNotNull() | (F.col("start_offset") == F.col("_prev"))
+    flagged = joined.withColumn("_new", F.when(F.coalesce(together, F.lit(False)), 0).otherwise(1)).drop("_k", "_a", "_b")
     island = flagged.withColumn("_island", F.sum("_new").over(w))
     aggs = [F.min("start_offset").alias("start_offset"), F.max("end_offset").alias("end_offset"), F.count(F.lit(1)).alias("parts")]
     if "confidence" in spans.columns:

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "quire", master: str | None = None, partitions: int | None = None) -> SparkSession:
+def build_session(app: str = "quire", master: str | None = None, partitions: int | None = None, driver_memory: str | None = None) -> SparkSession:
     """A session with the settings the library is tuned for; anything the caller's environment sets wins."""
     builder = (
         SparkSession.builder.appName(app)
@@ -21,6 +21,8 @@ def build_session(app: str = "quire", master: str | None = None, partitions: int
     )
     if master:
         builder = builder.master(master)
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     return builder.getOrCreate()

@@ -109,9 +109,10 @@ def test_payloads(spark):
     assert rows.select(payloads.decode(F.lit("{broken"), "categorize_response", "20241227").alias("r")).first().r in (None, (None,))
 
 
-def test_stream(spark):
+def test_stream(spark, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "updated_at")
-    live = stream.read_documents(spark, f"{DATA}/documents.parquet", docs.schema)
+    docs.repartition(3).write.parquet(f"{tmp_path}/in")
+    live = stream.read_documents(spark, f"{tmp_path}/in", docs.schema, 1)
     counted = stream.token_counts(live, "doc_id", "text", "updated_at", "365 days")
     q = counted.writeStream.format("memory").queryName("counted").outputMode("complete").start()
     try:
