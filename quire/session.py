@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -42,7 +44,9 @@ def shared_dir(spark: SparkSession) -> str:
         return made.get().rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = f"file://{tempfile.mkdtemp(prefix='quire-')}"
+    made_here = tempfile.mkdtemp(prefix="quire-")
+    atexit.register(shutil.rmtree, made_here, ignore_errors=True)
+    folder = f"file://{made_here}"
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
