@@ -351,12 +351,11 @@ def document_changes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def response_payloads(spark: SparkSession, folder: str) -> DataFrame:
-    """Categorization responses encoded, decoded again and counted per request. The request of a tenth of all rows is too large for one payload."""
-    rows = _read(spark, folder, "page_categories")
-    small = rows.groupBy("request_id").agg(F.count(F.lit(1)).alias("k")).filter("k <= 10000")
-    sent = payloads.categorize_responses(rows.join(small.select("request_id"), on="request_id", how="left_semi"))
-    back = sent.select("request_id", payloads.decode(F.col("payload"), "categorize_response", "20241227").alias("r"))
-    return back.select("request_id", F.size("r.pages").cast("long").alias("pages"), F.aggregate("r.pages", F.lit(0).cast("long"), lambda acc, p: acc + F.size(p["categories"])).alias("categories"))
+    """Categorization responses encoded, decoded again and counted per request. A large request has several payloads, whose counts are added."""
+    sent = payloads.categorize_responses(_read(spark, folder, "page_categories"))
+    back = sent.select("request_id", "piece", payloads.decode(F.col("payload"), "categorize_response", "20241227").alias("r"))
+    counted = back.select("request_id", F.when(F.col("piece") == 0, F.size("r.pages")).otherwise(0).cast("long").alias("pages"), F.aggregate("r.pages", F.lit(0).cast("long"), lambda acc, p: acc + F.size(p["categories"])).alias("categories"))
+    return counted.groupBy("request_id").agg(F.sum("pages").alias("pages"), F.sum("categories").alias("categories"))
 
 
 def bio_tags(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _BOX = "struct<page_number:int,line_index:int,x0:double,x1:double,y0:double,y1:double,text:string>"
 SCHEMAS = {
@@ -22,9 +22,19 @@ def encode(body: Column) -> Column:
     return F.to_json(body)
 
 
+#: A payload of responses holds the pages of one range of so many numbers, and so many categories of each: 10,000 at most.
+PAGES, CATEGORIES = 200, 50
+
+
 def categorize_responses(rows: DataFrame, request: str = "request_id") -> DataFrame:
-    """``request_id`` and ``payload``: each request's pages with their categories, by falling confidence, as a response payload."""
+    """``request_id``, ``part``, ``piece`` and ``payload``: each request's pages with their categories, by falling confidence, as response payloads.
+
+    A request has a payload for each range of ``PAGES`` page numbers (``part``). A page of more than ``CATEGORIES`` categories continues
+    in the payloads of the same range with the next ``piece``; every page is in piece 0.
+    """
     category = F.struct(F.col("category_id").alias("id"), F.col("category_name").alias("name"), "confidence")
-    page = rows.groupBy(request, "number").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("confidence", F.lit(-1.0)).alias("c"), category.alias("v"))), asc=False).alias("cs"))  # the categories of one page
-    pages = page.select(request, F.struct("number", F.transform("cs", lambda x: x["v"]).alias("categories")).alias("p"))
-    return pages.groupBy(request).agg(F.array_sort(F.collect_list("p")).alias("pages")).select(request, F.to_json(F.struct("pages")).alias("payload"))  # the pages of one request
+    place = Window.partitionBy(request, "number").orderBy(F.desc("c"), F.desc("v"))
+    cut = rows.select(request, "number", F.coalesce("confidence", F.lit(-1.0)).alias("c"), category.alias("v")).withColumn("piece", F.floor((F.row_number().over(place) - 1) / CATEGORIES))
+    page = cut.groupBy(request, "number", "piece").agg(F.sort_array(F.collect_list(F.struct("c", "v")), asc=False).alias("cs"))  # at most CATEGORIES
+    pages = page.select(request, F.floor(F.col("number") / PAGES).alias("part"), "piece", F.struct("number", F.transform("cs", lambda x: x["v"]).alias("categories")).alias("p"))
+    return pages.groupBy(request, "part", "piece").agg(F.array_sort(F.collect_list("p")).alias("pages")).select(request, "part", "piece", F.to_json(F.struct("pages")).alias("payload"))  # at most PAGES

@@ -109,6 +109,16 @@ def test_payloads(spark):
     assert rows.select(payloads.decode(F.lit("{broken"), "categorize_response", "20241227").alias("r")).first().r in (None, (None,))
 
 
+def test_large_request_keeps_all_rows(spark, tmp_path):
+    rows = spark.range(12_000).selectExpr("1L as request_id", "int(id div 12 + 1) as number", "id % 12 as category_id", "'n' as category_name", "0.5 as confidence")
+    rows = rows.unionByName(spark.range(130).selectExpr("2L as request_id", "7 as number", "id % 3 as category_id", "string(null) as category_name", "0.5 as confidence"))
+    rows.write.parquet(f"{tmp_path}/page_categories.parquet")
+    got = {r.request_id: (r.pages, r.categories) for r in entry.queries()["response_payloads"](spark, str(tmp_path)).collect()}
+    assert got == {1: (1000, 12_000), 2: (1, 130)}
+    sizes = payloads.categorize_responses(rows).select(F.size(payloads.decode(F.col("payload"), "categorize_response", "20241227")["pages"]).alias("n"))
+    assert sizes.agg(F.max("n")).first()[0] <= payloads.PAGES
+
+
 def test_stream(spark, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "updated_at")
     docs.repartition(3).write.parquet(f"{tmp_path}/in")
