@@ -101,20 +101,36 @@ def overlapping_false_positives(false_positives: DataFrame, gold: DataFrame, key
     return false_positives.join(g, (false_positives[key] == g["_k"]) & (false_positives["start_offset"] < g["_b"]) & (g["_a"] < false_positives["end_offset"]), "left_semi")
 
 
+#: Characters of a block of positions: spans are only paired within the blocks they reach into.
+BLOCK = 64
+
+
 def compare_overlapping(gold: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
-    """Full outer join on document and label, with the flag ``is_matched``: predicted and right span touch (ends count).
+    """Pairs of one document and label whose spans touch (ends count), with the flag ``is_matched``, and each span of either side without any.
 
-    Duplicates beyond the first match of either side, by offsets, are dropped where both sides are duplicates.
+    Duplicates beyond the first match of either side, by offsets, are dropped where both sides are duplicates. Spans meet by document,
+    label and block of positions, each pair in the first block that both reach, so no document is paired with itself.
     """
+
+    def blocks(df: DataFrame, start: str, end: str, first: str, block: str) -> DataFrame:
+        upto = F.floor(F.col(end) / BLOCK)
+        return df.withColumn(first, F.floor(F.col(start) / BLOCK)).withColumn(block, F.explode_outer(F.sequence(F.col(first), upto)))
+
     p = predicted.select(F.col(key).alias(f"{key}_predicted"), F.col("label").alias("label_predicted"), F.col("start_offset").alias("start_predicted"), F.col("end_offset").alias("end_predicted"), *([F.col("confidence").alias("confidence_predicted")] if "confidence" in predicted.columns else []))
-    joined = gold.join(p, (gold[key] == p[f"{key}_predicted"]) & (gold["label"] == p["label_predicted"]), "full_outer")
-    touch = true_if((F.col("start_predicted") <= F.col("end_offset")) & (F.col("end_predicted") >= F.col("start_offset")))
-    joined = joined.withColumn("is_matched", touch)
+    g, p = blocks(gold, "start_offset", "end_offset", "_first", "_block"), blocks(p, "start_predicted", "end_predicted", "_first_p", "_block_p")
+    touch = (p["start_predicted"] <= g["end_offset"]) & (p["end_predicted"] >= g["start_offset"]) & (g["_block"] == F.greatest(g["_first"], p["_first_p"]))
+    joined = g.withColumn("_g", F.lit(True)).join(p.withColumn("_p", F.lit(True)), (g[key] == p[f"{key}_predicted"]) & (g["label"] == p["label_predicted"]) & (g["_block"] == p["_block_p"]) & touch, "full_outer")
+    joined = joined.withColumn("is_matched", true_if(F.col("_g") & F.col("_p"))).withColumn("_k", F.coalesce(key, f"{key}_predicted")).withColumn("_l", F.coalesce("label", "label_predicted"))
     order = [F.desc("is_matched"), "start_offset", "end_offset", "start_predicted", "end_predicted"]
-    wg = Window.partitionBy(key, "label", "start_offset", "end_offset").orderBy(*order)
-    wp = Window.partitionBy(f"{key}_predicted", "label_predicted", "start_predicted", "end_predicted").orderBy(*order)
-    joined = joined.withColumn("duplicated", (F.row_number().over(wg) > 1) & F.col("label").isNotNull()).withColumn("duplicated_predicted", (F.row_number().over(wp) > 1) & F.col("label_predicted").isNotNull())
-    return with_flags(joined.filter(~(F.col("duplicated") & F.col("duplicated_predicted"))))
+    # The document and label stand for the side that is missing, lest all such rows be one group.
+    wg = Window.partitionBy("_k", "_l", "_g", "start_offset", "end_offset").orderBy(*order)
+    wp = Window.partitionBy("_k", "_l", "_p", "start_predicted", "end_predicted").orderBy(*order)
+    ranked = joined.repartition("_k", "_l").select("*", F.row_number().over(wg).alias("_ng"), F.first("is_matched").over(wg).alias("_mg"), F.row_number().over(wp).alias("_np"), F.first("is_matched").over(wp).alias("_mp"))
+    ranked = ranked.withColumn("duplicated", F.col("is_matched") & (F.col("_ng") > 1)).withColumn("duplicated_predicted", F.col("is_matched") & (F.col("_np") > 1))
+    # A span without a match in one block may have it in another; without any it is left once.
+    alone = F.when(F.col("_g"), ~F.col("_mg") & F.col("_block").eqNullSafe(F.col("_first"))).otherwise(~F.col("_mp") & F.col("_block_p").eqNullSafe(F.col("_first_p")))
+    kept = ranked.filter(F.when(F.col("is_matched"), ~(F.col("duplicated") & F.col("duplicated_predicted"))).otherwise(alone))
+    return with_flags(kept.drop("_g", "_p", "_k", "_l", "_first", "_first_p", "_block", "_block_p", "_ng", "_np", "_mg", "_mp"))
 
 
 def weighted_vote(rows: DataFrame, group: str, value: str, weight: str | None = None) -> DataFrame:

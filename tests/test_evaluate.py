@@ -1,8 +1,11 @@
 """Evaluation: joins, flags, sweeps, votes."""
 
+import random
+
 import pytest
 
 from quire.operators import categorize, evaluate, split
+from quire.plans import queries
 
 
 def frame(spark, rows, extra=""):
@@ -37,6 +40,25 @@ def test_overlapping(spark):
     assert evaluate.overlapping_false_positives(frame(spark, [(1, 4, 6, "x"), (1, 5, 6, "x"), (2, 0, 9, "x")]), gold, "doc_id").count() == 1
 
 
+def test_overlapping_of_many_spans(spark, tmp_path):
+    rng = random.Random(7)
+
+    def some(n):
+        return sorted({(d, a, a + rng.choice((1, 5, 30, 200)), rng.choice("ab")) for d, a in ((rng.randrange(2), rng.randrange(3000)) for _ in range(n))})
+
+    gold, pred = some(60), some(60)
+    pairs = sorted((g, p) for g in gold for p in pred if g[0] == p[0] and g[3] == p[3] and p[1] <= g[2] and p[2] >= g[1])
+    order = lambda x: (*x[0][1:3], *x[1][1:3])
+    kept = [x for x in pairs if x == min((y for y in pairs if y[0] == x[0]), key=order) or x == min((y for y in pairs if y[1] == x[1]), key=order)]
+    want = (len(kept), len(set(pred) - {p for _, p in pairs}), len(set(gold) - {g for g, _ in pairs}))
+    c = evaluate.compare_overlapping(frame(spark, gold), frame(spark, pred), "doc_id").agg(*evaluate.counts()).first()
+    assert (c.tp, c.fp, c.fn) == want and min(want) > 0
+    # Short spans take part in the query.
+    docs = spark.createDataFrame([(1, "ab cd, ef")], "doc_id long, text string").selectExpr("*", "'de' as lang", "1L as category_id", "timestamp'2024-01-01' as updated_at")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert tuple(queries.overlapping_comparison(spark, str(tmp_path)).first()) == (2, 1, 1)
+
+
 def test_votes_and_priority(spark):
     rows = spark.createDataFrame([("g", "x", 0.2), ("g", "y", 0.3), ("g", "x", 0.1), (None, "z", 1.0), ("h", None, 1.0)], "g string, v string, w double")
     assert {r.g: r.v for r in evaluate.weighted_vote(rows, "g", "v", "w").collect()} == {"g": "x", None: "z"}
