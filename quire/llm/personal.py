@@ -406,23 +406,69 @@ def find_personal(texts: DataFrame, model: Model, keys: list[str]) -> DataFrame:
     return src.mapInArrow(run, T.StructType([*src.drop("text").schema.fields, *[T.StructField(n, t) for n, t in made]]))
 
 
-def redact(texts: DataFrame, model: Model, placeholders: Mapping[str, str], keys: list[str]) -> DataFrame:
-    """``keys`` and ``redacted``: the text with each item replaced by its type's placeholder, all else unchanged. Null stays null."""
+def _parts_of(text: str, s: int, e: int) -> Iterator[tuple[int, int, int]]:
+    """(start, end, start of its cell) of each cell's part of an item, which may run over line breaks and gaps."""
+    at = s
+    for gap in [*re.finditer(r"\s*[\n\f]\s*| {2,}", text[s:e]), None]:
+        end = s + gap.start() if gap else e
+        if end > at:
+            yield at, end, _cell_start(text, at) if at == s else at
+        at = s + gap.end() if gap else e
+
+
+def redact(texts: DataFrame, model: Model, placeholders: Mapping[str, str], keys: list[str], parts: bool = False) -> DataFrame:
+    """``keys`` and ``redacted``: the text with each item replaced by its type's placeholder, all else unchanged. Null stays null.
+
+    With ``parts`` also ``parts``: the items' types, places and texts cell by cell, each with the start of its cell, for ``redact_cells``.
+    """
     from pyspark.sql import types as T
 
     src = texts.select(*keys, "text")
+    part = pa.struct([("pii_type", pa.string()), ("at", pa.int64()), ("cell", pa.int64()), ("item", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, found = [], []
             for t in batch.column("text").to_pylist():
+                cells = []
                 if t:
-                    parts, at = [], 0
+                    pieces, at = [], 0
                     for kind, s, e in find_items(t, model):
-                        parts += [t[at:s], placeholders.get(kind, f"[{kind}]")]
+                        pieces += [t[at:s], placeholders.get(kind, f"[{kind}]")]
                         at = e
-                    t = "".join([*parts, t[at:]])
-                out.append(t)
-            yield pa.RecordBatch.from_arrays([*batch.select(keys).columns, pa.array(out, pa.string())], names=[*keys, "redacted"])
-
-    return src.mapInArrow(run, T.StructType([*src.drop("text").schema.fields, T.StructField("redacted", T.StringType())]))
+                        if parts:
+                            own = list(_parts_of(t, s, e))
+                            # The capitalised word that begins the line after an address and its full stop is another cell's text.
+                            if kind == "EMAIL" and len(own) > 1 and regex.fullmatch(r"\p{Lu}\p{L}*", t[own[-1][0] : e]):
+                                own.pop()
+                                a, b, c = own[-1]
+                                own[-1] = a, b - t[a:b].endswith("."), c
+                            cells += [{"pii_type": kind, "at": a - c, "cell": c, "item": t[a:b]} for a, b, c in own]
+                    t = "".join([*pieces, t[at:]])
+                out.append(t), found.append(cells)
+            made = [pa.array(out, pa.string()), *([pa.array(found, pa.list_(part))] if parts else [])]
+            yield pa.RecordBatch.from_arrays([*batch.select(keys).columns, *made], names=[*keys, "redacted", *(["parts"] if parts else [])])
+
+    fields = [*src.drop("text").schema.fields, T.StructField("redacted", T.StringType())]
+    if parts:
+        fields.append(T.StructField("parts", T.ArrayType(T.StructType([T.StructField("pii_type", T.StringType()), T.StructField("at", T.LongType()), T.StructField("cell", T.LongType()), T.StructField("item", T.StringType())]))))
+    return src.mapInArrow(run, T.StructType(fields))
+
+
+def redact_cells(boxes: DataFrame, redacted: DataFrame, placeholders: Mapping[str, str], key: str, cell: str, text: str) -> DataFrame:
+    """``key``, ``cell`` and ``redacted`` of each box: the parts of its text's items that stand in it replaced by their placeholders."""
+    found = redacted.select(key, F.explode("parts").alias("p")).select(key, F.col("p.cell").alias(cell), F.struct("p.at", "p.pii_type", "p.item").alias("p"))
+    found = found.groupBy(key, cell).agg(F.array_sort(F.collect_set("p")).alias("ps"))  # the items of one cell
+    names = F.create_map(*[F.lit(x) for kv in placeholders.items() for x in kv]) if placeholders else F.create_map().cast("map<string,string>")
+    box = F.col(text)
+
+    def piece(a, n=None):
+        return F.substring(box, (a + 1).cast("int"), F.length(box) if n is None else n.cast("int"))
+
+    def step(acc, p):
+        mark = F.coalesce(F.element_at(names, p["pii_type"]), F.concat(F.lit("["), p["pii_type"], F.lit("]")))
+        stands = (p["at"] >= acc["upto"]) & (piece(p["at"], F.length(p["item"])) == p["item"])
+        return F.when(stands, F.struct(F.concat(acc["out"], piece(acc["upto"], p["at"] - acc["upto"]), mark).alias("out"), (p["at"] + F.length(p["item"])).cast("long").alias("upto"))).otherwise(acc)
+
+    done = F.aggregate(F.coalesce("ps", F.array().cast("array<struct<at:bigint,pii_type:string,item:string>>")), F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("upto")), step, lambda acc: F.concat(acc["out"], piece(acc["upto"])))
+    return boxes.join(found, on=[key, cell], how="left").select(key, cell, done.alias("redacted"))

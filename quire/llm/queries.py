@@ -60,9 +60,18 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Request texts (``bbox_key`` -1) and the texts of their boxes, with placeholders."""
     texts = _personal_texts(spark, folder)
+    model = personal.learn(texts)
     marks = {r["pii_type"]: r["placeholder"] for r in _read(spark, folder, "pii_placeholders").collect()}  # five rows, fixed
-    return personal.redact(texts.filter("own"), personal.learn(texts), marks, ["request_id"]).distinct()
+    done = Scratch(spark, "p3").write(personal.redact(texts, model, marks, ["request_id", "own"], parts=True), "redacted")
+    whole = done.filter("own").select("request_id", F.lit(-1).cast("long").alias("bbox_key"), "redacted")
+    # Boxes of requests that have neither text nor recognised lines are read by themselves.
+    states = done.groupBy("request_id").agg(F.max(F.col("redacted").isNotNull()).alias("read"))
+    boxes = _read(spark, folder, "extract_bboxes").filter("text is not null").select("request_id", "bbox_key", "text").join(states, on="request_id")
+    in_box = personal.redact_cells(boxes.filter("read").drop("read"), done, marks, "request_id", "bbox_key", "text")
+    by_box = personal.redact(boxes.filter("not read"), model, marks, ["request_id", "bbox_key"])
+    return whole.unionByName(in_box).unionByName(by_box).distinct()
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

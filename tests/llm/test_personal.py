@@ -38,3 +38,20 @@ def test_learning_and_frames(spark):
     out = {r.id: r.redacted for r in redact(df, model, {"PERSON_NAME": "[NAME]"}, ["id"]).collect()}
     assert out[92] == "Kontakt: [NAME]" and out[90] is None and out[91] == ""
     assert find_personal(df.limit(0), learn(df.limit(0)), ["id"]).count() == 0
+
+
+def test_boxes_are_redacted(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    texts = [f"Sehr geehrte Frau {g} {f},\n\nKontakt: {g} {f}\nSteuer-ID 00 131043 W 142" for g in ("Wiebke", "Lene") for f in ("Tannholz", "Moorhof") for _ in range(4)]
+    body = "Ort   Kontakt: Lene Moorhof   a@b.example\nKontakt: Wiebke\nTannholz"
+    rows = [(i, "20241227", t) for i, t in enumerate([*texts, body])] + [(50, "20241227", None), (60, "20240117", body)]
+    spark.createDataFrame(rows, "request_id long, schema_version string, text string").selectExpr("*", "string(null) as raw_ocr_response").write.parquet(f"{tmp_path}/extract_requests.parquet")
+    cells = ("Ort", "Kontakt: Lene Moorhof", "a@b.example", "Kontakt: Wiebke", "Tannholz")
+    boxes = [(16, body.index(c), c) for c in cells] + [(16, 99, None), (50, 0, "Mail a@b.example"), (60, 0, "Ort")]
+    spark.createDataFrame(boxes, "request_id long, bbox_key long, text string").write.parquet(f"{tmp_path}/extract_bboxes.parquet")
+    spark.createDataFrame([("PERSON_NAME", "[NAME]"), ("EMAIL", "[MAIL]"), ("ID_NUMBER", "[ID]")], "pii_type string, placeholder string").write.parquet(f"{tmp_path}/pii_placeholders.parquet")
+    got = {(r.request_id, r.bbox_key): r.redacted for r in entry.queries()["p3_redacted"](spark, str(tmp_path)).collect()}
+    want = dict(zip(cells, ("Ort", "Kontakt: [NAME]", "[MAIL]", "Kontakt: [NAME]", "[NAME]")))
+    assert {k: v for k, v in got.items() if k[1] >= 0} == {(16, body.index(c)): v for c, v in want.items()} | {(50, 0): "Mail [MAIL]"}
+    assert got[16, -1] == "Ort   Kontakt: [NAME]   [MAIL]\nKontakt: [NAME]"
