@@ -286,12 +286,17 @@ def split_evaluation(spark: SparkSession, folder: str) -> DataFrame:
 # ---------------------------------------------------------------- layout
 
 
+def _all_boxes(spark: SparkSession, folder: str) -> DataFrame:
+    return _read(spark, folder, "extract_bboxes").distinct()
+
+
 def _boxes(spark: SparkSession, folder: str) -> DataFrame:
-    return _read(spark, folder, "extract_bboxes").filter("text is not null and line_index is not null").distinct()
+    """The boxes with a line and a text."""
+    return _all_boxes(spark, folder).filter("text is not null and line_index is not null")
 
 
 def line_heights(spark: SparkSession, folder: str) -> DataFrame:
-    t = layout.median_line_height(_boxes(spark, folder), ["request_id", "page_number"])
+    t = layout.median_line_height(_all_boxes(spark, folder), ["request_id", "page_number"])
     return t.select("request_id", F.col("page_number").cast("long").alias("page_number"), "threshold")
 
 
@@ -316,7 +321,7 @@ def line_distance_sentences(spark: SparkSession, folder: str) -> DataFrame:
 
 def box_checks(spark: SparkSession, folder: str) -> DataFrame:
     """Boxes per request that are not valid on a page of A4 landscape or portrait size, and the sum of their areas."""
-    b = _boxes(spark, folder)
+    b = _all_boxes(spark, folder)
     ok = geometry.is_valid(F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1"), F.lit(842.0), F.lit(842.0))
     return b.groupBy("request_id").agg(F.sum(F.when(ok, 0).otherwise(1)).alias("invalid"), F.round(F.sum(geometry.area(F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1"))), 1).alias("area"))
 

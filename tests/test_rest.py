@@ -119,6 +119,15 @@ def test_large_request_keeps_all_rows(spark, tmp_path):
     assert sizes.agg(F.max("n")).first()[0] <= payloads.PAGES
 
 
+def test_boxes_without_line_or_text_count(spark, tmp_path):
+    rows = [(1, 0, 1, None, 0.0, 10.0, 0.0, 10.0, "a"), (1, 0, 1, None, 0.0, 10.0, 0.0, 10.0, "a"), (1, 5, 1, None, 0.0, 900.0, 0.0, 20.0, None), (2, 0, 1, 0, 0.0, 10.0, 0.0, 10.0, None), (2, 5, 1, 0, 0.0, 10.0, 0.0, 30.0, "b")]
+    spark.createDataFrame(rows, "request_id long, bbox_key long, page_number int, line_index int, x0 double, x1 double, y0 double, y1 double, text string").write.parquet(f"{tmp_path}/extract_bboxes.parquet")
+    q = entry.queries()
+    assert {r.request_id: (r.invalid, r.area) for r in q["box_checks"](spark, str(tmp_path)).collect()} == {1: (1, 18100.0), 2: (0, 400.0)}
+    assert {r.request_id: r.threshold for r in q["line_heights"](spark, str(tmp_path)).collect()} == {1: 12.0, 2: 16.0}
+    assert {r.request_id for r in q["line_boxes"](spark, str(tmp_path)).collect()} == {2}
+
+
 def test_stream(spark, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "updated_at")
     docs.repartition(3).write.parquet(f"{tmp_path}/in")
