@@ -240,16 +240,9 @@ def _is_word(w: Column) -> Column:
     return F.length(w).between(3, 40) & w.rlike(r"\p{L}") & ~w.rlike(r"^[\d\P{L}]+\p{L}?$|^\p{L}{1,3}-?\d{2,}$|\d\p{L}?\d\d")
 
 
-def find_noise(df: DataFrame, request: str = "request_id", text: str = "text", raw: str | None = "raw_ocr_response") -> DataFrame:
-    """Noise of scanned pages: ``request_id``, ``line_no`` (parts between ``\\n`` or ``\\f``, from 0) and ``noise``: ``hyphen``,
-    ``misread``, ``header``, ``page_number``; each once.
-
-    A null text is replaced by the lines of the recognition response, where ``raw`` names its column; if both are null the row gives
-    nothing, as do empty texts. Repeated rows count once in the result. Other columns are ignored.
-    """
-    scratch = Scratch(df.sparkSession, "scans")
-    source = whole_text(F.col(f"`{text}`"), F.col(f"`{raw}`")) if raw else F.col(f"`{text}`")
-    pages = df.select(F.col(f"`{request}`").cast("long").alias("request_id"), source.alias("text")).filter("text is not null")
+def _judge(pages: DataFrame, scratch: Scratch) -> tuple[DataFrame, ...]:
+    """Running lines; broken words; of these the ones at a plain "-", with ``spelled`` where the corpus has them hyphenated; misread words
+    with the meant ones (``form``: as most often written); misread broken words. All by request and line."""
     marks = scratch.write(pages.mapInArrow(_mark, "request_id long, line_no long, kind string, left string, right string, next_line long"), "marks")
 
     lines = pages.select("request_id", F.posexplode(F.split("text", r"[\n\f]")).alias("line_no", "line"))
@@ -257,10 +250,10 @@ def find_noise(df: DataFrame, request: str = "request_id", text: str = "text", r
     lines = lines.withColumn("line", F.when(F.col("line").rlike(r"@|[(\[]at[)\]]"), F.regexp_replace("line", r"[\w.+-]+\s?(?:@|[(\[]at[)\]])\s?[\w-]+(?:(?:\.|\s?[(\[](?:dot|punkt)[)\]]\s?)[\w-]+)+|[\w+-]+[._][\w.+-]*@\s*$", " ")).otherwise(F.col("line")))
     # Patterns are tried once per distinct token, not per occurrence.
     tokens = lines.select("request_id", F.col("line_no").cast("long").alias("line_no"), F.explode(_words("line")).alias("raw"))
-    forms = tokens.groupBy("raw").agg(F.count(F.lit(1)).alias("n")).withColumn("w", F.lower(F.regexp_replace("raw", r"^[-‐¬\u00ad(!]+|[-‐¬\u00ad]+$", ""))).filter(_is_word(F.col("w")))
+    forms = tokens.groupBy("raw").agg(F.count(F.lit(1)).alias("n")).withColumn("core", F.regexp_replace("raw", r"^[-‐¬\u00ad(!]+|[-‐¬\u00ad]+$", "")).withColumn("w", F.lower("core")).filter(_is_word(F.col("w")))
     forms = scratch.write(forms, "forms")
     # The words of the corpus; a word broken at a line end counts as its whole.
-    counts = scratch.write(forms.groupBy("w").agg(F.sum("n").alias("n")), "words")
+    counts = scratch.write(forms.groupBy("w").agg(F.sum("n").alias("n"), F.max_by("core", F.struct("n", "core")).alias("form")), "words")
 
     cut = marks.filter("kind in ('hyphen', 'hyphen?')").withColumn("joined", F.lower(F.concat("left", "right"))).withColumn("spelled", F.lower(F.concat("left", F.lit("-"), "right")))
     plain = cut.filter("kind = 'hyphen?'").select("request_id", "line_no", "joined", "spelled").distinct()
@@ -268,7 +261,7 @@ def find_noise(df: DataFrame, request: str = "request_id", text: str = "text", r
         side = counts.select(F.col("w").alias("_w"), F.col("n").alias(out))
         plain = plain.join(side, on=plain[name] == side["_w"], how="left").drop("_w")
     spelled = (F.coalesce("ns", F.lit(0)) > F.coalesce("nj", F.lit(0)))
-    hyphen = cut.filter("kind = 'hyphen'").select("request_id", "line_no").unionByName(plain.filter(~spelled).select("request_id", "line_no"))
+    plain = plain.withColumn("spelled", spelled)
 
     # Distinct words only, so this is as small as the vocabulary.
     sound = counts.filter(F.col("n") >= LEAST)
@@ -281,67 +274,151 @@ def find_noise(df: DataFrame, request: str = "request_id", text: str = "text", r
             yield pd.DataFrame(rows, columns=["w", "n", "meant", "at"])
 
     guesses = rare.mapInPandas(spread, "w string, n long, meant string, at int")
-    sound = sound.select(F.col("w").alias("_w"), F.col("n").alias("nm"))
+    sound = sound.select(F.col("w").alias("_w"), F.col("n").alias("nm"), "form")
     signed = F.col("w").rlike("[" + "".join("\\" + c if not c.isalnum() else c for c in SIGNS) + "]")
     wrong = guesses.join(sound, on=guesses["meant"] == sound["_w"]).filter((F.col("nm") >= RATIO * F.col("n")) | (signed & (F.col("nm") > F.col("n"))))
-    wrong = scratch.write(wrong.groupBy("w").agg(F.max_by("at", "nm").alias("at")), "wrong")
+    wrong = scratch.write(wrong.groupBy("w").agg(F.max_by(F.struct("at", "meant", "form"), F.struct("nm", "meant")).alias("x")).select("w", "x.*"), "wrong")
     few = wrong.count() <= 200_000
     table = F.broadcast(wrong) if few else wrong
-    raw = forms.join(table.select("w"), on="w").select("raw", "w")
+    raw = forms.join(table.select("w", "meant", "form"), on="w").select("raw", "w", "meant", "form")
     raw = F.broadcast(raw) if raw.limit(200_001).count() <= 200_000 else raw
 
     # Halves of broken words are no words by themselves.
     halves = cut.select("request_id", F.col("line_no"), F.lower("left").alias("w")).unionByName(cut.select("request_id", F.col("next_line").alias("line_no"), F.lower("right").alias("w")))
-    hits = tokens.join(raw, on="raw").select("request_id", "line_no", "w").distinct()
-    hits = hits.join(halves.distinct(), on=["request_id", "line_no", "w"], how="left_anti").select("request_id", "line_no")
-    across = cut.join(table.withColumnRenamed("w", "_w"), on=cut["joined"] == F.col("_w")).select("request_id", F.when(F.col("at") < F.length("left"), F.col("line_no")).otherwise(F.col("next_line")).alias("line_no"))
+    hits = tokens.join(raw, on="raw").select("request_id", "line_no", "w", "raw", "meant", "form").distinct()
+    hits = hits.join(halves.distinct(), on=["request_id", "line_no", "w"], how="left_anti")
+    across = cut.join(table.withColumnRenamed("w", "_w"), on=cut["joined"] == F.col("_w"))
     running = marks.filter("kind in ('header', 'page_number')").select("request_id", "line_no", F.col("kind").alias("noise")).distinct()
-    misread = hits.unionByName(across).distinct().join(running.select("request_id", "line_no").distinct(), on=["request_id", "line_no"], how="left_anti")
+    return running, cut, plain, hits, across
+
+
+def find_noise(df: DataFrame, request: str = "request_id", text: str = "text", raw: str | None = "raw_ocr_response") -> DataFrame:
+    """Noise of scanned pages: ``request_id``, ``line_no`` (parts between ``\\n`` or ``\\f``, from 0) and ``noise``: ``hyphen``,
+    ``misread``, ``header``, ``page_number``; each once.
+
+    A null text is replaced by the lines of the recognition response, where ``raw`` names its column; if both are null the row gives
+    nothing, as do empty texts. Repeated rows count once in the result. Other columns are ignored.
+    """
+    scratch = Scratch(df.sparkSession, "scans")
+    source = whole_text(F.col(f"`{text}`"), F.col(f"`{raw}`")) if raw else F.col(f"`{text}`")
+    pages = df.select(F.col(f"`{request}`").cast("long").alias("request_id"), source.alias("text")).filter("text is not null")
+    running, cut, plain, hits, across = _judge(pages, scratch)
+    hyphen = cut.filter("kind = 'hyphen'").select("request_id", "line_no").unionByName(plain.filter("not spelled").select("request_id", "line_no"))
+    across = across.select("request_id", F.when(F.col("at") < F.length("left"), F.col("line_no")).otherwise(F.col("next_line")).alias("line_no"))
+    misread = hits.select("request_id", "line_no").unionByName(across).distinct().join(running.select("request_id", "line_no").distinct(), on=["request_id", "line_no"], how="left_anti")
     return running.unionByName(hyphen.distinct().withColumn("noise", F.lit("hyphen"))).unionByName(misread.withColumn("noise", F.lit("misread")))
 
 
-def tidy(text: str) -> str:
+def respell(word: str, meant: str, form: str) -> str:
+    """``word`` with the characters of ``meant`` (lower case) where they differ, in the case of the word; ``form`` where its first letter is unknown."""
+    if len(word) > 1 and word.upper() == word and sum(c.isalpha() for c in word) > 1:
+        return meant.upper()
+    low = word.lower()
+    if len(low) != len(word):
+        return form
+    a = 0
+    while a < min(len(low), len(meant)) and low[a] == meant[a]:
+        a += 1
+    if a == 0:
+        return form if not word[0].isalpha() else meant[:1].upper() + meant[1:] if word[0].isupper() else meant
+    b = 0
+    while b < min(len(low), len(meant)) - a and low[-1 - b] == meant[-1 - b]:
+        b += 1
+    return word[:a] + meant[a : len(meant) - b] + word[len(word) - b :]
+
+
+_APART = frozenset(".,;:?[])\"“”„«»…/·–—*=+_<>’'")
+
+
+def _corrected(line: str, raw: str, meant: str, form: str) -> str:
+    """``line`` with the word ``raw``, wherever it stands alone, respelled; signs around it stay."""
+    core = regex.sub(r"^[-‐¬\u00ad(!]+|[-‐¬\u00ad]+$", "", raw)
+    new = raw.replace(core, respell(core, meant, form), 1)
+    at = line.find(raw)
+    while at >= 0:
+        end = at + len(raw)
+        if all(c.isspace() or c in _APART for c in line[max(at - 1, 0) : at] + line[end : end + 1]):
+            line = line[:at] + new + line[end:]
+            at = line.find(raw, at + len(new))
+        else:
+            at = line.find(raw, at + 1)
+    return line
+
+
+def tidy(text: str, known: list[dict] | None = None) -> str:
     """Readable paragraphs of one text: running lines dropped, broken words joined, lines of a paragraph joined by a space.
 
-    Paragraphs end at blank lines, before table rows and after short closing lines; a page end does not end one.
+    Paragraphs end at blank lines, before table rows and after short closing lines; a page end does not end one. ``known`` are the
+    verdicts of the corpus (``kind``, ``line_no``, ``word``, ``meant``, ``form``): running lines, misread words, hyphens to keep, and
+    broken words that are misread as a whole.
     """
-    pages, _ = _split(text)
-    labels = label_pages(pages)
-    flow: list[str] = []
+    pages, first = _split(text)
+    if known is None:
+        labels = label_pages(pages)
+        dropped = {first[k] + i for k, page in enumerate(labels) for i, x in enumerate(page) if x not in ("B", "K")}
+    else:
+        dropped = {x["line_no"] for x in known if x["kind"] == "running"}
+    kept = {x["line_no"] for x in known or () if x["kind"] == "keep"}
+    whole = {(x["line_no"], x["word"]): x for x in known or () if x["kind"] == "across"}
+    fixes: dict[int, list[dict]] = {}
+    for x in known or ():
+        if x["kind"] == "misread":
+            fixes.setdefault(x["line_no"], []).append(x)
+    flow: list[tuple[int, str]] = []
     for k, page in enumerate(pages):
         for i, line in enumerate(page):
-            if labels[k][i] in ("B", "K"):
-                flow.append(line.strip() if labels[k][i] == "B" else "")
+            no = first[k] + i
+            if no not in dropped:
+                for x in fixes.get(no, ()):
+                    line = _corrected(line, x["word"], x["meant"], x["form"])
+                flow.append((no, line.strip()))
         if flow and k + 1 < len(pages):
-            while flow and not flow[-1]:
+            while flow and not flow[-1][1]:
                 flow.pop()
-    width = max((len(x) for x in flow), default=0)
+    width = max((len(x) for _, x in flow), default=0)
     out: list[str] = []
-    joined = False
-    for i, line in enumerate(flow):
+    joined, last = False, -1
+    for no, line in flow:
         if not line:
             joined = False
             continue
         if joined and out:
             cut = broken_word(out[-1], line)
-            if cut:
-                out[-1] = out[-1].rstrip()[:-1] + line
+            if cut and cut[2] == "-" and last in kept:
+                out[-1] = out[-1].rstrip() + line
+            elif cut:
+                before, word, after = out[-1].rstrip()[: -1 - len(cut[0])], cut[0] + cut[1], line[len(cut[1]) :]
+                x = whole.get((last, word.lower()))
+                out[-1] = before + (respell(word, x["meant"], x["form"]) if x else word) + after
             else:
                 out[-1] += " " + line
         else:
             out.append(line)
-        joined = len(line) > 0.6 * width and not regex.match(r"\d+\s{2,}", line)
+        joined, last = len(line) > 0.6 * width and not regex.match(r"\d+\s{2,}", line), no
     return "\n\n".join(out)
 
 
 def repair(df: DataFrame, request: str = "request_id", text: str = "text", raw: str | None = "raw_ocr_response") -> DataFrame:
-    """``request_id`` and ``repaired``: each text as continuous paragraphs; null stays null, empty stays empty."""
+    """``request_id`` and ``repaired``: each text as continuous paragraphs, misread words and hyphens set right by the words of the corpus.
+
+    Null stays null, empty stays empty. The verdicts are those of ``find_noise``; they join the texts by request.
+    """
     source = whole_text(F.col(f"`{text}`"), F.col(f"`{raw}`")) if raw else F.col(f"`{text}`")
     pages = df.select(F.col(f"`{request}`").cast("long").alias("request_id"), source.alias("text"))
+    running, _, plain, hits, across = _judge(pages.filter("text is not null"), Scratch(df.sparkSession, "repair"))
+    none = F.lit(None).cast("string")
+
+    def verdicts(rows: DataFrame, kind: str, word=none, meant=none, form=none) -> DataFrame:
+        return rows.select("request_id", F.struct(F.lit(kind).alias("kind"), F.col("line_no"), word.alias("word"), meant.alias("meant"), form.alias("form")).alias("v"))
+
+    rows = verdicts(running, "running").unionByName(verdicts(plain.filter("spelled"), "keep"))
+    rows = rows.unionByName(verdicts(hits, "misread", F.col("raw"), F.col("meant"), F.col("form"))).unionByName(verdicts(across, "across", F.col("joined"), F.col("meant"), F.col("form")))
+    known = rows.groupBy("request_id").agg(F.sort_array(F.collect_set("v")).alias("known"))  # the verdicts of one request
+    judged = pages.join(known, on="request_id", how="left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [None if t is None else tidy(t) for t in batch.column("text").to_pylist()]
+            done = [None if t is None else tidy(t, k or []) for t, k in zip(batch.column("text").to_pylist(), batch.column("known").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("request_id"), pa.array(done, pa.string())], names=["request_id", "repaired"])
 
-    return pages.mapInArrow(run, "request_id long, repaired string")
+    return judged.mapInArrow(run, "request_id long, repaired string")

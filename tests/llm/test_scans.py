@@ -2,7 +2,7 @@
 
 import json
 
-from quire.llm.scans import broken_word, find_noise, label_pages, repair, variants
+from quire.llm.scans import broken_word, find_noise, label_pages, repair, respell, variants
 
 BODY = "Die Buchhaltung genehmigt den Dauerauftrag und prüft die Rechnung der Spedition."
 
@@ -35,3 +35,14 @@ def test_find_and_repair(spark):
     text = {r.request_id: r.repaired for r in repair(df).collect()}
     assert "Dauerauftrag" in text[100] and text[102] is None and text[103] == ""
     assert find_noise(df.limit(0)).count() == 0
+
+
+def test_repair_uses_the_words_of_the_corpus(spark):
+    long = "Die Abrechnung wurde von der zentralen Stelle geprüft und"
+    good = [(i, f"{BODY} Das alt-neue Konto und die Übersendung sind erfasst.", None) for i in range(20)]
+    noisy = [(100, f"{long} die Bucbhaltung zahlt (Sp€dition) das alt-\nneue Konto.", None), (101, f"{long} der Dauer-\nauftr@g läuft, die 5pedition auch.", None)]
+    df = spark.createDataFrame(good + noisy, "request_id long, text string, raw_ocr_response string")
+    text = {r.request_id: r.repaired for r in repair(df).collect()}
+    assert "die Buchhaltung zahlt (Spedition) das alt-neue Konto" in text[100] and "Dauerauftrag läuft, die Spedition auch." in text[101]
+    assert all(text[i] == good[i][1] for i in range(20))
+    assert (respell("BUCBHALTUNG", "buchhaltung", "Buchhaltung"), respell("Bucbhaltung", "buchhaltung", "x"), respell("Cin", "ein", "ein")) == ("BUCHHALTUNG", "Buchhaltung", "Ein")
