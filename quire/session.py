@@ -57,23 +57,25 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/quire-{name}-{uuid.uuid4().hex}"
-        self._made: list[str] = []
+        self._made: dict[str, list[str]] = {}
+        self._count = 0
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` written as parquet and read again with the schema it had."""
-        path = f"{self.base}/{len(self._made):04d}-{name}"
+        path = f"{self.base}/{self._count:04d}-{name}"
+        self._count += 1
         schema = df.schema
         df.write.parquet(path)
-        self._made.append(path)
+        self._made.setdefault(name, []).append(path)
         return self.spark.read.schema(schema).parquet(path)
 
-    def drop_before(self, keep: int) -> None:
-        """Delete all but the last ``keep`` tables (those no later plan reads)."""
+    def drop(self, *names: str, keep: int = 0) -> None:
+        """Delete the tables of these names, all but the last ``keep`` of each. Only for tables that no later plan reads."""
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for path in self._made[: len(self._made) - keep]:
-            if path:
+        for name in names:
+            paths = self._made.get(name, [])
+            gone, self._made[name] = paths[: len(paths) - keep], paths[len(paths) - keep :]
+            for path in gone:
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(conf).delete(p, True)
-        cut = max(0, len(self._made) - keep)
-        self._made[:cut] = [""] * cut
