@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quire.session import Scratch
 
@@ -37,6 +37,12 @@ def _salted_join(rows: DataFrame, state: DataFrame, hot: DataFrame, groups: Sequ
     return spread.join(copies, on=on).drop(*[f"s_{g}" for g in groups], "s_salt", "_salt", "salts")
 
 
+def _place(ways: int) -> Column:
+    """The bucket of ``_id`` in ``id_lo``..``id_hi`` by whole numbers, lower identifiers higher. A range too wide for a long is halved first."""
+    return F.expr(f"""{ways - 1} - CASE WHEN try_subtract(id_hi, id_lo) IS NOT NULL THEN (_id - id_lo) div ((id_hi - id_lo) div {ways} + 1)
+        ELSE (shiftright(_id, 1) - shiftright(id_lo, 1)) div ((shiftright(id_hi, 1) - shiftright(id_lo, 1)) div {ways} + 1) END""")
+
+
 def top_n(df: DataFrame, groups: Sequence[str], score: str, identifier: str, n: int, ways: int = 16, max_passes: int | None = None) -> DataFrame:
     """The first ``n`` items of each group by ``score`` descending, then ``identifier`` ascending.
 
@@ -73,12 +79,11 @@ def top_n(df: DataFrame, groups: Sequence[str], score: str, identifier: str, n:
         if turn == bound:
             raise RuntimeError("bisection did not end")
         j = _salted_join(rows, state, hot, names).filter((F.col("_s") >= F.col("lo")) & (F.col("_s") <= F.col("hi")) & (~F.col("by_id") | F.col("_id").between(F.col("id_lo"), F.col("id_hi"))))
-        # Halves keep the width of the range finite; infinite scores get buckets of their own.
-        part = (F.col("_s") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        # Halves keep the width of the range finite; infinite scores get buckets of their own. A width of 0 is two neighbouring doubles.
+        width = F.col("hi") / 2 - F.col("lo") / 2
+        part = F.when(width > 0, (F.col("_s") / 2 - F.col("lo") / 2) / width).otherwise(F.when(F.col("_s") > F.col("lo"), 1.0).otherwise(0.0))
         by_score = F.when(F.col("_s") == float("inf"), ways + 1).when(F.col("_s") == float("-inf"), -1).when(F.col("hi") == float("inf"), F.when(F.col("_s") > 0, ways).otherwise(0)).when(F.col("lo") == float("-inf"), F.when(F.col("_s") > 0, ways).otherwise(0)).when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(F.floor(part * ways), F.lit(ways - 1)))
-        width = (F.col("id_hi").cast("double") - F.col("id_lo").cast("double") + 1) / ways
-        by_place = F.lit(ways - 1) - F.least(F.floor((F.col("_id").cast("double") - F.col("id_lo").cast("double")) / width), F.lit(ways - 1))
-        bucket = F.when(F.col("by_id"), by_place).otherwise(by_score).cast("int").alias("bucket")
+        bucket = F.when(F.col("by_id"), _place(ways)).otherwise(by_score).cast("int").alias("bucket")
         binned = scratch.write(j.select(*names, "need", "by_id", "_id", "_s", bucket), "binned")
         counts = binned.groupBy(*names, "need", "by_id", "bucket").agg(F.count(F.lit(1)).alias("rows"), F.min("_s").alias("lo"), F.max("_s").alias("hi"), F.min("_id").alias("id_lo"), F.max("_id").alias("id_hi"))
         down = Window.partitionBy(*names).orderBy(F.desc("bucket"))  # at most ways + 3 rows a group
@@ -95,7 +100,9 @@ def top_n(df: DataFrame, groups: Sequence[str], score: str, identifier: str, n:
         done = F.col("left") == F.col("rows")
         cutoffs.append(cut.filter(done).select(*names, "salts", F.col("lo").alias("cut_s"), F.when(F.col("by_id"), F.col("id_hi")).alias("cut_id")))
         state = cut.filter(~done).select(*names, "salts", F.col("left").alias("need"), (F.col("lo") == F.col("hi")).alias("by_id"), "lo", "hi", "id_lo", "id_hi")
+        scratch.drop("binned", keep=1)  # the pass before
         rows = binned.select(*names, "_id", "_s")
+    scratch.drop("binned")
     every = cutoffs[0]
     for c in cutoffs[1:]:
         every = every.unionByName(c)

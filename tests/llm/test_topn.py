@@ -33,3 +33,12 @@ def test_against_sort(spark, n):
 
 def test_empty(spark):
     assert top_n(spark.createDataFrame([], "g string, i long, s double"), ["g"], "s", "i", 3).count() == 0
+
+
+def test_wide_identifiers_and_close_scores(spark):
+    low, high = -(2**63), 2**63 - 1
+    rows = [("near", 2**60 + i, 0.5) for i in range(40)] + [("negative", -(2**60) - i, 0.5) for i in range(40)] + [("ends", i, 0.5) for i in (low, low + 1, -5, 0, 7, high - 1, high)]
+    rows += [("hash", (i * 0x9E3779B97F4A7C15) % 2**64 - 2**63, 0.5) for i in range(300)] + [("tiny", i, s) for i, s in enumerate([0.0, 5e-324, 1e-323, 5e-324, 0.0])] + [("steps", i, 2.0**i) for i in range(-300, 300)]
+    df = spark.createDataFrame(rows, "g string, i long, s double")
+    got = [(r.g, r.i) for r in top_n(df, ["g"], "s", "i", 3).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected(rows, 3)
