@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from quire.session import Scratch
 
-#: Newton steps at most; relative error at which they end; ways and rounds of the search for the rounding offset.
-STEPS, PRECISION, WAYS, SEARCHES = 60, 1e-7, 16, 5
+#: Newton steps at most (more raises); relative error at which they end; ways of the search for the rounding offset, and the bits of its hash.
+STEPS, PRECISION, WAYS, BITS = 200, 1e-7, 16, 40
 #: Targets are a list of sources held by the driver; more than this raises.
 MOST_SOURCES = 100_000
 
@@ -46,6 +46,8 @@ def solve_rates(histogram: DataFrame, wanted: dict[str, float], caps: dict[str,
                 low[s] = at[s]
             step = at[s] - error / r["h"] if r["h"] > 0 else math.inf
             at[s] = step if low[s] < step < high[s] else (low[s] + high[s]) / 2
+    if open_sources:
+        raise RuntimeError("the dual did not converge")
     return at
 
 
@@ -78,25 +80,28 @@ def mix(sized: DataFrame, targets: DataFrame, key: str = "doc_id", source: str =
     table = [(s, 0.0 if s in full else lam[s], float(caps[s]), have[s][1], s in full, min(wanted[s], caps[s] * have[s][0])) for s in have]
     plan = sized.sparkSession.createDataFrame(table, "_s string, lam double, cap double, scale double, full boolean, wanted double")
     rate = F.when(F.col("full"), F.col("cap")).otherwise(F.least(F.exp(F.least(F.col("lam") * F.col("n_tokens") / F.col("scale"), F.lit(700.0))), F.col("cap")))
-    uniform = (F.pmod(F.xxhash64("_key", F.lit(20240930)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    uniform = (F.pmod(F.xxhash64("_key", F.lit(20240930)), F.lit(1 << BITS)) + 0.5) / float(1 << BITS)
     rated = rows.join(F.broadcast(plan), on=rows["source"] == plan["_s"]).select("_key", "source", "n_tokens", "cap", "wanted", rate.alias("rate"), uniform.alias("u"))
     rated = scratch.write(rated, "rated")
 
     def copies(offset):
         return F.least(F.floor("rate") + (F.col("u") < F.col("rate") - F.floor("rate") + offset).cast("int"), F.col("cap")).cast("int")
 
-    # The offset per source: so many ways at a time, keeping the bracket in which the tokens cross the target.
+    # The offset per source: so many ways at a time, keeping the bracket in which the tokens cross the target, until it holds one document
+    # or has the width of the hash's last bit.
     bracket = {s: (-1.0, 1.0) for s in have}
-    for _ in range(SEARCHES):
-        if not bracket:
-            break
-        grid = sized.sparkSession.createDataFrame([(s, a, b) for s, (a, b) in bracket.items()], "_s string, a double, b double")
+    coarse = set(have)
+    while coarse:
+        grid = sized.sparkSession.createDataFrame([(s, *bracket[s]) for s in coarse], "_s string, a double, b double")
         tried = [F.sum(F.col("n_tokens") * copies(F.col("a") + (F.col("b") - F.col("a")) * k / WAYS)).alias(f"t{k}") for k in range(WAYS + 1)]
-        for r in rated.join(F.broadcast(grid), on=rated["source"] == grid["_s"]).groupBy("source").agg(*tried, F.first("wanted").alias("wanted"), F.first("a").alias("a"), F.first("b").alias("b")).collect():
+        known = [F.first(c).alias(c) for c in ("wanted", "a", "b")] + [F.max("n_tokens").alias("largest")]
+        for r in rated.join(F.broadcast(grid), on=rated["source"] == grid["_s"]).groupBy("source").agg(*tried, *known).collect():  # one row per source
             sums = [r[f"t{k}"] for k in range(WAYS + 1)]
             k = max((k for k in range(WAYS) if sums[k] <= r["wanted"]), default=0)
             step = (r["b"] - r["a"]) / WAYS
             bracket[r["source"]] = (r["a"] + k * step, r["a"] + (k + 1) * step)
+            if sums[k + 1] - sums[k] <= r["largest"] or step < 2.0**-BITS:
+                coarse.discard(r["source"])
     chosen = sized.sparkSession.createDataFrame([(s, a) for s, (a, _) in bracket.items()], "_s string, offset double")
     out = rated.join(F.broadcast(chosen), on=rated["source"] == chosen["_s"]).select(F.col("_key").alias(key), "source", "n_tokens", "rate", copies(F.col("offset")).alias("copies"))
     return out.filter("copies > 0")

@@ -103,6 +103,8 @@ def measure(df: DataFrame, key: str, text: str, capacity: int, folder: str = tok
                     s, e = int(lengths[x]), int(lengths[y])
                     while s < e:
                         lo, hi = s + 1, min(e, s + capacity)
+                        while hi < e and len(count.encoding.encode_ordinary(t[s:hi])) <= capacity:
+                            lo, hi = hi, min(e, s + 2 * (hi - s))  # a token holds more than one character
                         while lo < hi:
                             mid = (lo + hi + 1) // 2
                             if len(count.encoding.encode_ordinary(t[s:mid])) <= capacity:

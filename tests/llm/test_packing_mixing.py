@@ -57,3 +57,18 @@ def test_mix(spark):
     assert shares["missing"].tokens == 0
     assert {r.source for r in mixed.select("source").distinct().collect()} == {"a", "b", "c"}
     assert mixing.mix(sized.limit(0), targets).count() == 0
+
+
+@needs_vocabulary
+def test_hard_cuts_fill_their_containers(spark):
+    df = spark.createDataFrame([(1, "a" * 9000)], "id long, text string")
+    out = packing.pack(df, "id", "text", 64).toPandas().sort_values("start_offset")
+    assert len(out) >= 2 and (out.n_tokens <= 64).all() and (out.n_tokens.iloc[:-1] >= 60).all() and "".join("a" * (b - a) for a, b in zip(out.start_offset, out.end_offset)) == "a" * 9000
+
+
+def test_mix_meets_the_document(spark):
+    rows = [(i, "ab"[i % 2], 1 + i % 3) for i in range(40_000)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("a", 0.3, 1), ("b", 0.7, 1)], "source string, target_share double, max_repeats int")
+    got = {r.source: r.t for r in mixing.mix(sized, targets).groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("t")).collect()}
+    assert abs(got["a"] - got["b"] * 3 / 7) <= 3
