@@ -3,26 +3,35 @@
 A text is cut at form feeds and blank lines into blocks; inside a block, a semi-Markov dynamic programme chooses the whole
 spans. Possible borders are end marks (with the closing quotes that follow them) and, in scripts
 written without end marks, spaces. A span's score joins its closing word and end mark, the
-opening word of what follows, its length and whether its quotations balance, so that a border inside a quotation or after
-an abbreviation loses against the span that runs over it.
+opening word of what follows, its length and whether its quotations balance: every border is charged for the quotations it lies in, so
+a border inside a quotation or after an abbreviation loses against the span that runs over it, however many there are.
 
-Opening words are learned from the corpus: ``fit_openers`` counts the first words of all blocks.
+The programme is exact over all spans of a block and linear in its borders: a span's length counts against it by a convex function of two
+pieces, so the best start is the best of a window (a queue that keeps its maximum) or the best of all starts before it (one running maximum).
+
+Opening words are learned from the corpus: ``fit_openers`` takes the share of the blocks that each word opens.
 """
 
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 import regex
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from quire.session import Scratch
 
-#: Number of opening words kept from the corpus (the most frequent ones); bounds what is sent to the executors.
-OPENERS_KEPT = 4096
-#: A sentence runs over at most so many possible borders; bounds the work per border.
-MAX_INNER = 48
+#: An opening word counts if it opens at least this share of all blocks; so at most 1/share words are sent to the executors.
+LEAST_SHARE = 2e-5
+#: Blocks added to the corpus' own in taking shares, so that those of a small corpus are not sure of themselves.
+PRIOR_BLOCKS = 1000
+#: What a border inside a quotation costs, by depth; a span's length beyond which its excess counts against it, and the excess that costs 1; the
+#: length below which a span is hardly one, and what that costs.
+QUOTED, LONG, EXCESS, SHORT, STUB = 12.0, 600, 300.0, 3, 3.0
 
 # Abbreviations that do not end a sentence when a word follows.
 _NEVER = frozenset("""
@@ -43,48 +52,46 @@ _THAI_OPEN = ("ว่า", "คือ", "และ", "หรือ", "แต่"
 _THAI_GOES_ON = ("และ", "หรือ", "แต่", "ที่", "ซึ่ง", "โดย", "เพราะ", "ภายใน", "ไม่รวม", "รวมทั้ง", "จาก", "ของ", "บาท", "รายการ", "วัน", "เปอร์เซ็นต์", "ยังไม่", "พร้อม", "เพื่อ", "จึง", "ใน")
 
 _OPEN = {"“": "”", "„": "“", "‚": "‘", "«": "»", "‹": "›", "「": "」", "『": "』", "《": "》", "〈": "〉"}
-_CLOSE = {"”", "“", "»", "›", "」", "』", "》", "〉", "‘"}
 _QUOTES = regex.compile(r"[“”„‚‘«»‹›「」『』《》〈〉\"]")
 _BLOCK = regex.compile(r"\f|\n[^\S\n\f]*(?=\n)[\s--\f]*", regex.V1)
 _MARKS = regex.compile(r"(?:\.{2,}|…+|[.!?‼⁇⁈⁉]+)|[。！？．｡]+|[।॥؟۔։።፧។။།]+|(?<=[\p{Greek}»”])[;;](?=\s|[»”]|$)")
 _UNSPACED = regex.compile(r"(?<=[฀-໿က-႟ក-៿\d)])[  \n]+(?=\S)|(?<=\S)[  \n]+(?=[฀-໿က-႟ក-៿])")
 _UNSPACED_SCRIPT = regex.compile(r"[฀-໿က-႟ក-៿]")
-_LAST = regex.compile(r"[^\s“”„«»「」\"(\[。！？]*\Z")
 _LEAD = regex.compile(r"[\s\"“”„‚‘«‹「『(\[¿¡*•–-]*")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}][\p{L}\p{M}\p{N}’'-]*")
 _LIST_NO = regex.compile(r"(?:\d{1,3}|[A-Za-z]|[ivxIVX]{1,5})(?:\.\d{1,3})*")
 _WIDE = "。！？．｡"
 
 
-def _roles(text: str) -> dict[int, int]:
-    """Position of each quotation mark: +1 opens, -1 closes; marks used both ways are told apart by what is open."""
-    stack: list[str] = []
-    roles = {}
+def _roles(text: str) -> tuple[dict[int, int], dict[int, int]]:
+    """Roles of the quotation marks that have a partner: position to +1 (opens) or -1 (closes); and the opening mark of each closing one.
+
+    Marks used both ways are told apart by what is open. A mark without a partner has no role.
+    """
+    stack: list[tuple[str, int]] = []  # what would close it, where it opened
+    partner: dict[int, int] = {}
+
+    def close(c: str, i: int) -> None:
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] == c:
+                partner[i] = stack[k][1]
+                del stack[k:]
+                return
+
     for m in _QUOTES.finditer(text):
         c, i = m.group(), m.start()
         if c == '"':
-            opens = '"' not in stack
-            roles[i] = 1 if opens else -1
-            if opens:
-                stack.append('"')
+            if any(x == c for x, _ in stack):
+                close(c, i)
             else:
-                del stack[stack.index('"'):]
-        elif stack and stack[-1] == c:
-            stack.pop()
-            roles[i] = -1
+                stack.append((c, i))
+        elif stack and stack[-1][0] == c:
+            partner[i] = stack.pop()[1]
         elif c in _OPEN:
-            stack.append(_OPEN[c])
-            roles[i] = 1
-        elif c in ("‘", "›", "»"):
-            roles[i] = -1 if c in stack else 0
-            if c in stack:
-                del stack[stack.index(c):]
-        elif c in stack:
-            del stack[stack.index(c):]
-            roles[i] = -1
+            stack.append((_OPEN[c], i))
         else:
-            roles[i] = 0
-    return roles
+            close(c, i)
+    return {i: 1 for i in partner.values()} | {i: -1 for i in partner}, partner
 
 
 def _cased(word: str) -> str:
@@ -99,26 +106,49 @@ def _cased(word: str) -> str:
     return "n"
 
 
-def _border(block: str, at: int, mark: str, nxt: int, openers: Mapping[str, int]) -> float | None:
+_JOINED = regex.compile(r"\p{L}{3,}[.!?](\p{L}+)$")
+_PLAIN = regex.compile(r"[\p{L}’'-]*\p{L}{2,}|.*[)\]»”“]|\d{3,}|.*[%€]")
+_WIDE_NEXT = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
+_ELIDED = regex.compile(r"^(?:l|d|qu|c|j|s|n)[’']")
+_SHORTENED = regex.compile(r"(?:\p{L}{1,3}\.)+\p{L}{1,3}")
+_STOPS = frozenset(" \t\n\r\x0b\x0c\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000“”„«»「」\"([。！？")
+
+
+def _last_word(block: str, at: int) -> str:
+    """The word that ends at ``at``, or its last 256 characters, by which all rules judge a longer one alike."""
+    k, least = at, max(0, at - 256)
+    while k > least and block[k - 1] not in _STOPS:
+        k -= 1
+    return block[k:at]
+
+
+def _known(word: str, openers: Mapping[str, float]) -> float:
+    """How much a word speaks for a beginning, 0 to 3, by the share of blocks it opens."""
+    share = openers.get(word)
+    return min(3.0, math.log1p(share / LEAST_SHARE) * 0.6) if share else 0.0
+
+
+def _border(block: str, at: int, mark: str, nxt: int, openers: Mapping[str, float]) -> float | None:
     """Log-odds that a sentence ends at the end mark starting at ``at``, the next text starting at ``nxt``; None: impossible."""
     lead = _LEAD.match(block, nxt).end()
     m = _WORD.match(block, lead)
     following = m.group() if m else block[lead : lead + 1]
     case = _cased(following) if following else "n"
     opening = lead > nxt and any(c in "“„«‹「『¿¡\"" for c in block[nxt:lead])
-    known = min(3.0, math.log1p(openers.get(following, 0)) * 0.6)
     if mark[0] in _WIDE or mark[0] in "।॥؟۔։።፧។။།":
         return 6.0
+    known = _known(following, openers)
     if mark[0] == "…" or mark.startswith(".."):
         return -6.0 if case in "ln" else 0.5 if opening else -1.0 + known
-    word = _LAST.search(block, max(0, at - 40), at).group()
-    joined = regex.search(r"\p{L}{3,}[.!?](\p{L}+)$", word)
-    word = joined[1] if joined else word
+    word = _last_word(block, at)
+    if "." in word or "!" in word or "?" in word:
+        joined = _JOINED.search(word)
+        word = joined[1] if joined else word
     spaced = nxt > at + len(mark) and any(c.isspace() for c in block[at + len(mark) : nxt])
     if not spaced and nxt < len(block):
         # A missing space: an ordinary word, the mark, and at once a capital.
-        plain = regex.fullmatch(r"[\p{L}’'-]*\p{L}{2,}|.*[)\]»”“]|\d{3,}|.*[%€]", word) is not None or (mark[0] in "!?" and len(mark) >= 1)
-        wide_next = following and regex.match(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]", following)
+        plain = _PLAIN.fullmatch(word) is not None or (mark[0] in "!?" and len(mark) >= 1)
+        wide_next = following and _WIDE_NEXT.match(following)
         if wide_next and case == "n":
             return 3.0 if plain else None
         return 2.5 if case == "u" and plain and word.lower() not in _NEVER and word.lower() not in ("www", "http") and (word[:1].islower() or len(word) > 3) else None
@@ -127,7 +157,8 @@ def _border(block: str, at: int, mark: str, nxt: int, openers: Mapping[str, int]
     if case == "l":
         return -6.0
     low = word.lower().lstrip("([¿¡'’")
-    low = regex.sub(r"^(?:l|d|qu|c|j|s|n)[’']", "", low)
+    if "’" in low or "'" in low:
+        low = _ELIDED.sub("", low)
     if low in _MAYBE:
         return -3.0 if case == "d" else 0.5 + known
     if low in _NEVER:
@@ -136,13 +167,21 @@ def _border(block: str, at: int, mark: str, nxt: int, openers: Mapping[str, int]
         before = block[max(0, at - 4) : at]
         return (0.5 if before.lower().endswith("e. k") or before.lower().endswith("e.k") else -4.5) + (known if known > 1.5 else 0)
     if low.isdigit():
-        start = block[: at - len(word)].rstrip(" \t")
-        if _LIST_NO.fullmatch(low) and (not start or (start.endswith("\n") and len(low) < 3 and case == "u" and start.rstrip()[-1:] in ".!?:")):
-            return -8.0
+        k = at - len(word)
+        while k > 0 and block[k - 1] in " \t":
+            k -= 1
+        if _LIST_NO.fullmatch(low):
+            if k == 0:
+                return -8.0
+            if block[k - 1] == "\n" and len(low) < 3 and case == "u":
+                while k > 0 and block[k - 1].isspace():
+                    k -= 1
+                if k == 0 or block[k - 1] in ".!?:":
+                    return -8.0
         if following.lower() in _MONTHS and len(low) < 3:
             return -8.0
         return (1.0 if len(low) > 2 else -1.0) + known + (1.0 if opening or len(low) > 2 else 0)
-    if "." in low.strip(".") and regex.fullmatch(r"(?:\p{L}{1,3}\.)+\p{L}{1,3}", low):
+    if "." in low.strip(".") and _SHORTENED.fullmatch(low):
         return -2.0 + known
     if not low:
         return 3.0 if block[at - 1 : at] in set(")]”“»%") else -2.0
@@ -151,49 +190,45 @@ def _border(block: str, at: int, mark: str, nxt: int, openers: Mapping[str, int]
 
 def _thai(block: str, end: int, nxt: int) -> float:
     """Log-odds that a unit ends at a space in a script without end marks."""
-    left, right = block[:end], block[nxt:]
-    if any(left.endswith(w) for w in _THAI_OPEN) and not left.endswith(("แล้ว", "ครับ")):
+    if block.endswith(_THAI_OPEN, 0, end) and not block.endswith(("แล้ว", "ครับ"), 0, end):
         return -5.0
-    if not _UNSPACED_SCRIPT.match(left[-1:]):
+    if not _UNSPACED_SCRIPT.match(block, end - 1, end):
         return -5.0
-    if right.startswith(_THAI_GOES_ON):
+    if block.startswith(_THAI_GOES_ON, nxt):
         return -5.0
-    if left.endswith(_THAI_FINAL):
+    if block.endswith(_THAI_FINAL, 0, end):
         return 4.0
-    if right[:1].isdigit() or (right[:1].isascii() and right[:1].isalpha()):
+    c = block[nxt]
+    if c.isdigit() or c.isascii() and c.isalpha():
         return -4.0
     return -2.0
 
 
-def _reported(block: str, roles: Mapping[int, int], end: int, nxt: int) -> bool:
-    """Whether the words after the quotation that ends at ``end`` report it: they go on in lower case, or, in a script without
+def _reported(block: str, roles: Mapping[int, int], opened: int, nxt: int) -> bool:
+    """Whether the words after a quotation (which opened at ``opened``) report it: they go on in lower case, or, in a script without
     capitals, nothing before the quotation introduces it, or a quoting particle follows."""
     if roles.get(nxt) == 1:
         return False
     if _cased(block[nxt : nxt + 2]) == "l" or block[nxt] == "と":
         return True
-    depth, i = 0, end
-    for i in sorted((p for p in roles if p < end), reverse=True):
-        depth -= roles[i]
-        if depth == 0:
-            break
-    before = block[:i].rstrip()
-    return before[-1:] not in (":", "：", ",", "，", "、")
+    k = opened
+    while k > 0 and block[k - 1].isspace():
+        k -= 1
+    return block[k - 1 : k] not in (":", "：", ",", "，", "、")
 
 
-def block_sentences(block: str, openers: Mapping[str, int]) -> list[tuple[int, int]]:
-    """Sentence ranges of one block, by dynamic programming over its possible borders."""
-    roles = _roles(block) if _QUOTES.search(block) else {}
-    depth_at = sorted(roles)
-    borders: list[tuple[int, int, float]] = []  # end of the sentence, start of the next, log-odds
+def _candidates(block: str, roles: Mapping[int, int], partner: Mapping[int, int], openers: Mapping[str, float]) -> list[tuple[int, int, float]]:
+    """Possible borders: end of the sentence, start of the next, log-odds."""
+    borders: list[tuple[int, int, float]] = []
     for m in _MARKS.finditer(block):
         end = m.end()
+        opened = None  # where the quotation that ends with this mark began
         while True:  # closing quotes and brackets belong to the sentence
             k = end
             while k < len(block) and block[k] in " \u00a0\u202f":
                 k += 1
-            if k < len(block) and roles.get(k) == -1 and (k == end or block[k] in "»›"):
-                end = k + 1
+            if k < len(block) and roles and roles.get(k) == -1 and (k == end or block[k] in "»›"):
+                end, opened = k + 1, partner[k]
             elif end < len(block) and block[end] in ")]）］'’" and not block[end + 1 : end + 2].isalpha():
                 end += 1
             else:
@@ -203,16 +238,17 @@ def block_sentences(block: str, openers: Mapping[str, int]) -> list[tuple[int, i
             nxt += 1
         if nxt >= len(block):
             break
-        if block[end : end + 1] and block[end] in ",;:，；：、)]）":
+        if block[end] in ",;:，；：、)]）":
             continue
         odds = _border(block, m.start(), m.group(), nxt, openers)
         if odds is None:
             continue
-        closed = end > m.end() and any(roles.get(i) == -1 for i in range(m.end(), end))
-        if closed and _cased(block[nxt : nxt + 2]) in "ln" and _reported(block, roles, end, nxt):
-            odds = -12.0
-        elif closed and _cased(block[nxt : nxt + 2]) == "u":
-            odds = max(odds, 4.0)  # a capital after a finished quotation
+        if opened is not None:
+            case = _cased(block[nxt : nxt + 2])
+            if case in "ln" and _reported(block, roles, opened, nxt):
+                odds = -12.0
+            elif case == "u":
+                odds = max(odds, 4.0)  # a capital after a finished quotation
         borders.append((end, nxt, odds))
     if _UNSPACED_SCRIPT.search(block):
         known = {e for e, _, _ in borders}
@@ -220,50 +256,68 @@ def block_sentences(block: str, openers: Mapping[str, int]) -> list[tuple[int, i
             if m.start() not in known:
                 borders.append((m.start(), m.end(), _thai(block, m.start(), m.end())))
         borders.sort()
-    first = len(block) - len(block.lstrip())
-    last = len(block.rstrip())
-    if first >= last:
-        return []
-    borders = [b for b in borders if b[0] > first and b[1] < last]
-    starts = [first] + [b[1] for b in borders]
-    ends = [b[0] for b in borders] + [last]
-    depth = []
-    d = k = 0
-    for pos in starts + [last]:
-        while k < len(depth_at) and depth_at[k] < pos:
-            d += roles[depth_at[k]]
-            k += 1
-        depth.append(d)
-
-    def span(i: int, j: int) -> float:
-        a, b = starts[i], ends[j]
-        value = 0.0 if j == len(ends) - 1 else borders[j][2]
-        if depth[i] != depth[j + 1]:
-            value -= 12.0
-        size = b - a
-        if size < 3:
-            value -= 3.0
-        elif size > 600:
-            value -= (size - 600) / 300
-        return value
-
-    best = [0.0] + [-math.inf] * len(ends)
-    back = [0] * (len(ends) + 1)
-    for j in range(len(ends)):
-        for i in range(max(0, j - MAX_INNER), j + 1):
-            v = best[i] + span(i, j)
-            if v > best[j + 1]:
-                best[j + 1], back[j + 1] = v, i
-    out = []
-    j = len(ends)
+    return borders
+
+
+def _best_spans(starts: list[int], ends: list[int], values: list[float]) -> list[tuple[int, int]]:
+    """The spans (start, end) that cover all and whose summed scores are highest; ``values`` are those of the borders at their ends.
+
+    Exact over all spans: a span scores its end's value, less what its length costs. Starts up to ``LONG`` back cost nothing and are kept in a queue
+    by falling score; of those further back one is best for every later end; those too near are tried one by one.
+    """
+    best, back = [0.0], [0]
+    near = 0  # the first start that is not yet far enough for a whole sentence
+    window: deque[int] = deque()
+    far, far_score = -1, -math.inf
+    for j, end in enumerate(ends):
+        while near <= j and end - starts[near] >= SHORT:
+            while window and best[window[-1]] < best[near]:
+                window.pop()
+            window.append(near)
+            near += 1
+        while window and end - starts[window[0]] > LONG:
+            i = window.popleft()
+            score = best[i] + starts[i] / EXCESS
+            if score > far_score:
+                far, far_score = i, score
+        v, at = -math.inf, j
+        if far >= 0:
+            v, at = far_score + (LONG - end) / EXCESS, far
+        if window and best[window[0]] > v:
+            v, at = best[window[0]], window[0]
+        for i in range(near, j + 1):
+            if best[i] - STUB > v:
+                v, at = best[i] - STUB, i
+        best.append(v + values[j])
+        back.append(at)
+    out, j = [], len(ends)
     while j > 0:
-        i = back[j]
-        out.append((starts[i], ends[j - 1]))
-        j = i
+        out.append((starts[back[j]], ends[j - 1]))
+        j = back[j]
     return out[::-1]
 
 
-def sentences(text: str, openers: Mapping[str, int] | None = None) -> list[tuple[int, int]]:
+def block_sentences(block: str, openers: Mapping[str, float]) -> list[tuple[int, int]]:
+    """Sentence ranges of one block, by dynamic programming over its possible borders."""
+    first, last = len(block) - len(block.lstrip()), len(block.rstrip())
+    if first >= last:
+        return []
+    roles, partner = _roles(block) if _QUOTES.search(block) else ({}, {})
+    borders = [b for b in _candidates(block, roles, partner, openers) if b[0] > first and b[1] < last]
+    if not borders:
+        return [(first, last)]
+    values = [odds for _, _, odds in borders]
+    if roles:
+        marks, k, depth = sorted(roles), 0, 0
+        for n, (end, _, odds) in enumerate(borders):
+            while k < len(marks) and marks[k] < end:
+                depth += roles[marks[k]]
+                k += 1
+            values[n] = odds - QUOTED * depth
+    return _best_spans([first] + [b[1] for b in borders], [b[0] for b in borders] + [last], values + [0.0])
+
+
+def sentences(text: str, openers: Mapping[str, float] | None = None) -> list[tuple[int, int]]:
     """Half-open code point ranges of the sentence units of ``text``, without surrounding white space."""
     out, at = [], 0
     for m in [*_BLOCK.finditer(text), None]:
@@ -273,15 +327,20 @@ def sentences(text: str, openers: Mapping[str, int] | None = None) -> list[tuple
     return out
 
 
-def fit_openers(df: DataFrame, text: str, keep: int = OPENERS_KEPT) -> dict[str, int]:
-    """The ``keep`` most frequent opening words of all blocks of the corpus, with their counts (list numbers are skipped)."""
+def fit_openers(df: DataFrame, text: str) -> dict[str, float]:
+    """The opening words of the blocks of the corpus (list numbers are skipped), each with the share of blocks it opens.
+
+    Each word's first block is not counted, lest a word speak for itself. Words of at least ``LEAST_SHARE`` are kept, at most 1 / ``LEAST_SHARE``.
+    """
     blocks = df.select(F.explode(F.split(F.col(f"`{text}`"), r"\f|\n[ \t\r]*\n\s*")).alias("b"))
     word = F.regexp_extract("b", r"^[^\p{L}\p{N}]*(?:\d{1,3}\.\s+)?[^\p{L}\p{N}]*([\p{L}][\p{L}\p{M}\p{N}’'-]*)", 1)
-    counts = blocks.select(word.alias("w")).filter("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    return {r.w: r.n for r in counts.orderBy(F.desc("n"), "w").limit(keep).collect() if r.n > 1}
+    counts = Scratch(df.sparkSession, "openers").write(blocks.select(word.alias("w")).filter("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("n")), "counts")
+    total = (counts.agg(F.sum("n")).first()[0] or 0) + PRIOR_BLOCKS  # one number
+    share = (F.col("n") - 1) / F.lit(float(total))
+    return {r.w: r.s for r in counts.select("w", share.alias("s")).filter(F.col("s") >= LEAST_SHARE).collect()}  # at most 1 / LEAST_SHARE
 
 
-def split_sentences(df: DataFrame, text: str, openers: Mapping[str, int] | None = None) -> DataFrame:
+def split_sentences(df: DataFrame, text: str, openers: Mapping[str, float] | None = None) -> DataFrame:
     """One row per sentence unit: the other columns of ``df``, then ``start_offset`` and ``end_offset`` (code points, half open).
 
     ``openers`` defaults to those fitted on ``df`` itself. Null and blank texts give no rows; repeated rows give repeated
@@ -302,7 +361,5 @@ def split_sentences(df: DataFrame, text: str, openers: Mapping[str, int] | None
             kept = batch.select(rest).take(pa.array(at, pa.int64())) if rest else None
             yield pa.RecordBatch.from_arrays([*(kept.columns if kept is not None else []), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=[*rest, *made])
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([*src.drop("_text").schema.fields, T.StructField("start_offset", T.LongType()), T.StructField("end_offset", T.LongType())])
     return src.mapInArrow(run, schema)
