@@ -7,7 +7,8 @@ after a closing formula, become patterns, and given names and family names a lex
 covers. Addresses and e-mail have a form of their own and need no pattern.
 
 The corpus is read twice, once for the graph (pre-aggregated edges) and once to extract. Patterns and lexicon are
-vocabularies, not documents: entries need support, and their number is checked before they are sent out.
+vocabularies, not documents: entries need support, and their number is checked before they are sent out. A lexicon of names beyond
+``MOST_NAMES`` stays a table: each text's own capitalised words are looked up in it by a join, and only what is found goes with the text.
 """
 
 from __future__ import annotations
@@ -16,16 +17,23 @@ from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
 import re
+import unicodedata
+from bisect import bisect_left
+from dataclasses import replace
 
 import pyarrow as pa
 import regex
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from quire.session import Scratch
 
-#: Rounds of scoring; entries of the model at most (more raises, instead of dropping any).
-ROUNDS, MOST_ENTRIES = 3, 2_000_000
+#: Rounds of scoring; names sent out with the model at most (more stay a table); labels and patterns at most (more raises: raise the support).
+ROUNDS, MOST_NAMES, MOST_PATTERNS = 3, 200_000, 1_000_000
+#: The types of items.
+TYPES = ("EMAIL", "PHONE", "ID_NUMBER", "STREET_ADDRESS", "PERSON_NAME")
+#: Characters of a word that are looked at; no label, title or firm word is longer.
+WORD = 64
 
 _S = r"(?:[  ]|\n)"
 _DOT = r"(?:\.|\s?[\[({](?:dot|punkt|point|punto)[\])}]\s?)"
@@ -33,6 +41,7 @@ _EMAIL = regex.compile(
     r"(?<![\w.+-])[\w](?:[\w.+-]*\w)?(?:" + _S + r"?@" + _S + r"?|\s?[\[({](?:at|ät|arroba)[\])}]\s?)\w[\w-]*(?:-\n\w[\w-]*)?(?:" + _DOT + r"\n?\w[\w-]*)+"
     r"|(?<![\w.+-])[\w][\w.+-]* at [\w-]+(?: dot [\w-]+)+", regex.IGNORECASE)
 
+_MARK = re.compile(r"\w")
 _AT = re.compile(r"@|[\[({](?:at|ät|arroba)[\])}]|(?<=\w) at (?=[\w-]+ dot )", re.IGNORECASE)
 _N = r"(?:[  ]|\n)?"
 _ID_SURE = re.compile(
@@ -48,11 +57,26 @@ _SEP = r"(?:[  ]?[–./-][  ]?|[  ]|\n)?"
 _PHONE_SURE = re.compile(r"(?<![\w.,+])(?:\(\+\d{2,3}\)|\(00\d{2}\)|\+\d{1,3}|00[1-9]\d)(?:" + _SEP + r"(?:\(0?\d{0,4}\)|\d{1,8})){2,7}" + _EXT + r"(?![\w/]|[.,]\d)")
 _PHONE_MAYBE = re.compile(r"(?<![\w.,+/-])(?:\(0\d{1,5}\)|\(\d{3}\)|0\d{1,5}|[1-9]\d{2})(?:" + _SEP + r"\d{1,8}){1,6}" + _EXT + r"(?![\w/]|[.,]\d)")
 
-_LETTER, _UPPER, _LOWER = "A-Za-zÀ-ÖØ-öø-ɏ", "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĘĚĞĢĪĮŁŃŅŇŐŒŘŚŞŠŤŪŮŰŲŹŻŽ", "a-zß-öø-ÿāăąćčďđēęěğģīįłńņňőœřśşšťūůűųźżž"
 
 
-def _latin(pattern: str) -> re.Pattern:
-    """Compiled by the faster standard module, with letter classes of the Latin script."""
+def _class(*categories: str) -> str:
+    """The ranges of all characters of the basic plane of these Unicode categories."""
+    out, start, last = [], None, None
+    for c in range(1 << 16):
+        if unicodedata.category(chr(c)) in categories:
+            start, last = (c if start is None else start), c
+        elif start is not None:
+            out.append(chr(start) if start == last else f"{chr(start)}-{chr(last)}")
+            start = None
+    return "".join(out)
+
+
+_UPPER, _LOWER = _class("Lu"), _class("Ll")
+_LETTER = _class("Lu", "Ll", "Lt", "Lm", "Lo")
+
+
+def _lettered(pattern: str) -> re.Pattern:
+    """Compiled by the faster standard module, which has no classes of letters."""
     for name, letters in ((r"\p{Lu}", _UPPER), (r"\p{Ll}", _LOWER), (r"\p{L}", _LETTER)):
         pattern = pattern.replace("[" + name, "[" + letters).replace("(?![" + name, "(?![" + letters).replace(name, "[" + letters + "]")
     return re.compile(pattern)
@@ -60,7 +84,7 @@ def _latin(pattern: str) -> re.Pattern:
 
 _DE_NO = r"\d{1,3}(?:[ ]?[a-h](?![\p{L}\d]))?(?:[ ]?[-–/][ ]?\d{1,3}(?:[ ]?[a-h](?![\p{L}\d]))?)?(?![\d.,]\d|\d)"
 # Words for streets.
-_STREET = _latin(
+_STREET = _lettered(
     r"(?<![\p{L}\d])(?:"
     r"(?:\p{Lu}[\p{L}-]*(?:[¬‐­-][ ]?\n\p{Ll}+)?(?:straße|strasse|str\.|weg|gasse|ring|platz|allee|ufer|winkel|damm|steig|stieg|pfad|graben|chaussee|promenade|zeile)|\p{Lu}\p{L}+(?:er|s)?[ ](?:Straße|Weg|Gasse|Ring|Platz|Allee|Ufer|Damm|Str\.|Chaussee))" + _S + _DE_NO
     + r"|(?:Am|Im|An" + _S + r"de[rnm]|Hinter" + _S + r"de[rnm]|Unter" + _S + r"de[rnm]|Zum|Zur|Auf" + _S + r"de[rm]|Bei" + _S + r"de[rm]|In" + _S + r"de[rnm]|Vor" + _S + r"de[rm]|An|Auf|Beim|Vorm|Über)(?:" + _S + r"\p{Lu}[\p{L}-]+){1,3}" + _S + _DE_NO
@@ -76,40 +100,75 @@ _FIRM_WORDS = frozenset("""Stiftung & Söhne Hermanos Bros. Bros GmbH KG OHG AG
 Optik Tooling Packaging Ceramics Servicios Transports Supplies Matériaux Werkstoffe Straße Street Ave. Ave Lane Road Rise branch site""".split())
 _FIRM_PAIRS = frozenset(["et Fils", "und Söhne", "e. K.", "e. K", "e. V."])
 _TOKEN = regex.compile(r"(?:\p{Lu}\.(?:-\p{Lu}\.)?(?=" + _S + r"\p{Lu})|\p{Lu}[\p{L}\p{M}’']*(?:[-‐¬­][ ]?\n\p{Ll}+)?(?:-\n?\p{Lu}[\p{L}\p{M}]*(?:[-‐¬­][ ]?\n\p{Ll}+)?)*)")
+GLUED = 12  # no match of the next pattern is longer
 _GLUE = regex.compile(r"(?:[ ]|[ ]?\n)(?:" + _PARTICLE + r"(?:[ ]|\n))?")
 _COMMA = regex.compile(r",(?:[ ]|\n)")
 
 
 @dataclass
 class Model:
-    """What was learned: labels of numbers with their score as (identity, phone), given names, family names, patterns of names."""
+    """What was learned: labels of numbers with their score as (identity, phone), given names, family names, patterns of names. Where the names are too
+    many, ``names`` holds them as a table (``name``, ``given``, ``family``)."""
 
     labels: dict[str, tuple[float, float]] = field(default_factory=dict)
     given: frozenset[str] = frozenset()
     family: frozenset[str] = frozenset()
     patterns: frozenset[str] = frozenset()
     single: frozenset[str] = frozenset()
+    names: DataFrame | None = None
 
 
 _WORD_BEFORE = re.compile(r"([^\W\d_][^\W\d_.’'/-]*(?:[.’'/-]+[^\W\d_]*)*)[\s:(]*(?:n\.?º|Nr\.|No\.|#)?[\s:(+]*$")
 _DATE = re.compile(r"\d{1,2}[./-]\d{1,2}[./-]\d{2,4}|\d{4}[./-]\d{2}[./-]\d{2}")
 
 
+def _word_before(text: str, at: int) -> tuple[str, int]:
+    """The word before ``at`` (its last ``WORD`` characters), over any white space, and its start; ("", 0) if there is none."""
+    k = at
+    while k > 0 and text[k - 1].isspace():
+        k -= 1
+    end, least = k, max(0, k - WORD)
+    while k > least and not text[k - 1].isspace():
+        k -= 1
+    return text[k:end], k
+
+
 def _label(text: str, at: int) -> str:
     """The word before a number, which labels it."""
-    left = text[max(0, at - 40) : at].rsplit(None, 2)
-    m = _WORD_BEFORE.search(" ".join(left[-2:])) if left else None
+    if at > 0 and text[at - 1].isspace():
+        second, k = _word_before(text, at)
+        m = _WORD_BEFORE.search(_word_before(text, k)[0] + " " + second)
+    else:  # the number begins inside a word
+        k = at
+        while k > max(0, at - WORD) and not text[k - 1].isspace():
+            k -= 1
+        m = _WORD_BEFORE.search(_word_before(text, k)[0] + " " + text[k:at])
     return m.group(1).lower().strip(".") if m else ""
 
 
+class _Taken:
+    """Ranges without overlap, by their starts."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def free(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b)
+        return k == 0 or self.ends[k - 1] <= a
+
+    def add(self, a: int, b: int) -> None:
+        k = bisect_left(self.starts, a)
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
+
+
 def _numbers(text: str) -> Iterator[tuple[str, int, int, str]]:
     """(kind, start, end, label) of numbers: ID, PHONE for sure forms; id?, phone? where the form allows it."""
-    taken: list[tuple[int, int]] = []
+    taken = _Taken()
     for kind, pattern in (("ID", _ID_SURE), ("PHONE", _PHONE_SURE), ("id?", _ID_MAYBE), ("phone?", _PHONE_MAYBE)):
         for m in pattern.finditer(text):
             a, b = m.span()
-            if b - a < 8:
-                continue
             if kind in ("PHONE", "phone?"):
                 s = m.group()
                 digits = sum(map(str.isdigit, s.partition("ext")[0]))
@@ -117,34 +176,32 @@ def _numbers(text: str) -> Iterator[tuple[str, int, int, str]]:
                     continue
                 if kind == "phone?" and s[0] in "123456789" and digits not in (9, 10):
                     continue
-            if kind != "id?" and any(b > x and a < y for x, y in taken):
+            if kind != "id?" and not taken.free(a, b):
                 continue
-            if _ACCOUNT.search(text, max(0, a - 40), a):
-                continue  # inside an account number
+            if _ACCOUNT.search(text, max(0, a - 48), a):
+                continue  # inside an account number, which has 34 signs and some gaps at most
             if kind in ("ID", "PHONE"):
-                taken.append((a, b))
+                taken.add(a, b)
             yield kind, a, b, _label(text, a)
 
 
 def _titled(text: str, at: int) -> bool:
     """Whether the word right before ``at`` is a title or form of address."""
-    left = text[max(0, at - 14) : at]
-    if not left or not left[-1].isspace():
-        return False
-    words = left.rsplit(None, 1)
-    return bool(words) and words[-1].strip() in _TITLES
+    return at > 0 and text[at - 1].isspace() and _word_before(text, at)[0] in _TITLES
+
+
+_NEXT_WORDS = re.compile(r"[- \n]*(\S{1,%d})(?:\s+(\S{1,%d}))?" % (WORD, WORD))
 
 
 def _firm_next(text: str, at: int) -> bool:
     """Whether what follows ``at`` marks the words before as a firm, a street or a town."""
-    right = text[at : at + 22]
-    if not right or right[0] not in " \n-S":
+    if at >= len(text) or text[at] not in " \n-S":
         return False
-    words = right.lstrip("- \n").split(None, 2)
-    if not words:
+    m = _NEXT_WORDS.match(text, at)
+    if not m:
         return False
-    first = words[0].rstrip(",;:")
-    return first in _FIRM_WORDS or first.startswith("Stiftung") or first.rstrip(".") in _FIRM_WORDS or (len(words) > 1 and f"{first} {words[1].rstrip(',;')}" in _FIRM_PAIRS)
+    first = m[1].rstrip(",;:")
+    return first in _FIRM_WORDS or first.startswith("Stiftung") or first.rstrip(".") in _FIRM_WORDS or (m[2] is not None and f"{first} {m[2].rstrip(',;')}" in _FIRM_PAIRS)
 
 
 def _line_pattern(text: str, at: int) -> str:
@@ -159,9 +216,9 @@ def _line_pattern(text: str, at: int) -> str:
         j = k - 1
         if j == 0 or last == "\f" or text[j - 1] == "\n":
             return "⏎⏎"
-        words = text[max(0, j - 20) : j].split()
-        return _hash(words[-1][-16:]) + "⏎" if words else "⏎⏎"
-    word = text[max(0, k - 20) : k].split()[-1]
+        word = _word_before(text, j)[0]
+        return _hash(word) + "⏎" if word else "⏎⏎"
+    word = _word_before(text, k)[0]
     return _hash(word) + "  " if at - k > 1 else _hash(word)
 
 
@@ -193,7 +250,7 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if i + 1 < len(tokens):
                     s2, e2, t2 = tokens[i + 1]
                     glue = text[e:s2]
-                    if s2 - e <= 12 and (_GLUE.fullmatch(glue) or regex.fullmatch(r" \p{Lu}\.[ \n]", glue)):
+                    if s2 - e <= GLUED and (_GLUE.fullmatch(glue) or regex.fullmatch(r" \p{Lu}\.[ \n]", glue)):
                         firm = _firm_next(text, e2) or _firm_next(text, e)
                         if t2.endswith(".") and i + 2 < len(tokens) and tokens[i + 2][0] - e2 == 1:
                             t2 = tokens[i + 2][2]
@@ -254,17 +311,22 @@ def learn(texts: DataFrame, support: int = 3) -> Model:
     lone = lone.filter((F.col("n") >= support) & (F.col("w") >= 0.5)).select("pattern")
 
     def take(df: DataFrame) -> list:
-        rows = df.limit(MOST_ENTRIES + 1).collect()
-        if len(rows) > MOST_ENTRIES:
-            raise ValueError("the vocabulary is larger than the model may be: raise the support")
+        rows = df.limit(MOST_PATTERNS + 1).collect()
+        if len(rows) > MOST_PATTERNS:
+            raise ValueError("there are more patterns than the model may have: raise the support")
         return rows
 
+    lexicon = names.select(F.col("a").alias("name"), F.lit(True).alias("given")).unionByName(family.select(F.col("f").alias("name"), F.lit(False).alias("given")))
+    lexicon = scratch.write(lexicon, "lexicon")
+    many = lexicon.limit(MOST_NAMES + 1).count() > MOST_NAMES
+    known = [] if many else lexicon.collect()  # at most MOST_NAMES
     return Model(
         {r["pattern"]: (r["i"], r["p"]) for r in take(labels.filter((F.col("n") >= support) & ((F.col("i") >= 0.05) | (F.col("p") >= 0.05))))},
-        frozenset(r[0] for r in take(names)),
-        frozenset(r[0] for r in take(family)),
+        frozenset(r["name"] for r in known if r["given"]),
+        frozenset(r["name"] for r in known if not r["given"]),
         frozenset(r[0] for r in take(patterns.filter((F.col("n") >= support) & (F.col("w") >= 0.6)).select("pattern"))),
         frozenset(r[0] for r in take(lone)),
+        lexicon if many else None,
     )
 
 
@@ -298,7 +360,7 @@ def _names(text: str, model: Model) -> Iterator[tuple[int, int]]:
         while j + 1 < len(tokens):
             s2, e2, t2 = tokens[j + 1]
             glue = text[end:s2]
-            if len(glue) > 12 or not _GLUE.fullmatch(glue):
+            if len(glue) > GLUED or not _GLUE.fullmatch(glue):
                 break
             k2 = _key(t2)
             fam = k2 in model.family or ("-" in k2 and any(p in model.family for p in _parts(k2)))
@@ -348,19 +410,28 @@ def _line_ok(text: str, s: int, e: int) -> bool:
     return e - s > 3 and regex.match(r"[,:(]|\s?[\p{Ll}(]", text[e : e + 2]) is not None
 
 
+def _local_part(text: str, at: int) -> int:
+    """Where the part of an address before its sign begins."""
+    k = at - 1 if at > 0 and text[at - 1].isspace() else at
+    while k > 0 and (text[k - 1].isalnum() or text[k - 1] in "_.+-" or _MARK.match(text[k - 1])):
+        k -= 1
+    return k
+
+
 def find_items(text: str, model: Model) -> list[tuple[str, int, int]]:
     """(type, start, end) of all personal data in ``text``, without overlaps, by place."""
     out: list[tuple[str, int, int]] = []
+    taken = _Taken()
 
     def add(kind: str, a: int, b: int) -> None:
-        if all(b <= x or a >= y for _, x, y in out):
+        if taken.free(a, b):
+            taken.add(a, b)
             out.append((kind, a, b))
 
     for sign in _AT.finditer(text):
-        # The pattern is tried around the sign only.
-        for m in _EMAIL.finditer(text, max(0, sign.start() - 70), min(len(text), sign.end() + 110)):
-            if m.start() <= sign.start() < m.end():
-                add("EMAIL", *m.span())
+        m = _EMAIL.match(text, _local_part(text, sign.start()))
+        if m and m.start() <= sign.start() < m.end():
+            add("EMAIL", *m.span())
     for kind, a, b, label in _numbers(text):
         good = model.labels.get(label, (0.0, 0.0)) if label else (0.0, 0.0)
         if kind == "ID" and not regex.search(r"(?:konto|iban|account|cuenta|compte|vat|ust|iva|tva)", label):
@@ -386,24 +457,53 @@ def _cell_start(text: str, at: int) -> int:
     return k
 
 
+def _tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different capitalised words of each text, and their parts, by the text's hash."""
+    for batch in batches:
+        at, words = [], []
+        for h, text in zip(batch.column("h").to_pylist(), batch.column("text").to_pylist()):
+            keys = {_key(m.group()) for m in _TOKEN.finditer(text or "")}
+            keys |= {p for k in keys if "-" in k for p in _parts(k)}
+            at += [h] * len(keys)
+            words += keys
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(words, pa.string())], names=["h", "name"])
+
+
+def _with_names(texts: DataFrame, model: Model, keys: list[str]) -> DataFrame:
+    """``keys``, ``text`` and the names of the model's table that occur in the text (``_given``, ``_family``); null where the model holds them itself."""
+    src = texts.select(*keys, "text")
+    none = F.lit(None).cast("array<string>")
+    if model.names is None:
+        return src.withColumns({"_given": none, "_family": none})
+    src = src.withColumn("h", F.xxhash64("text"))
+    found = src.select("h", "text").mapInArrow(_tokens_of, "h long, name string").distinct().join(model.names, on="name")
+    found = found.groupBy(F.col("h").alias("_h")).agg(F.collect_list(F.when(F.col("given"), F.col("name"))).alias("_given"), F.collect_list(F.when(~F.col("given"), F.col("name"))).alias("_family"))  # the names of one text
+    return src.join(found, on=src["h"] == found["_h"], how="left").drop("h", "_h")
+
+
+def _each(batch: pa.RecordBatch, model: Model) -> Iterator[tuple[str | None, Model]]:
+    """The texts of a batch, each with the model to read it by."""
+    for t, given, family in zip(batch.column("text").to_pylist(), batch.column("_given").to_pylist(), batch.column("_family").to_pylist()):
+        yield t, model if given is None else replace(model, given=frozenset(given), family=frozenset(family))
+
+
 def find_personal(texts: DataFrame, model: Model, keys: list[str]) -> DataFrame:
     """``keys``, ``pii_type``, ``start_offset``, ``end_offset``, ``item`` and ``cell`` (start of the item's cell of its line) for each
     item in the column ``text``. Null and empty texts give none."""
-    from pyspark.sql import types as T
-
-    src = texts.select(*keys, "text")
+    src = _with_names(texts, model, keys)
     made = [("pii_type", T.StringType()), ("start_offset", T.LongType()), ("end_offset", T.LongType()), ("item", T.StringType()), ("cell", T.LongType())]
+    small = replace(model, names=None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, kind, a, b, item, cell = [], [], [], [], [], []
-            for i, t in enumerate(batch.column("text").to_pylist()):
-                for k, s, e in find_items(t, model) if t else ():
+            for i, (t, known) in enumerate(_each(batch, small)):
+                for k, s, e in find_items(t, known) if t else ():
                     at.append(i), kind.append(k), a.append(s), b.append(e), item.append(t[s:e]), cell.append(_cell_start(t, s))
             kept = batch.select(keys).take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(kind, pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(item, pa.string()), pa.array(cell, pa.int64())], names=[*keys, *[n for n, _ in made]])
 
-    return src.mapInArrow(run, T.StructType([*src.drop("text").schema.fields, *[T.StructField(n, t) for n, t in made]]))
+    return src.mapInArrow(run, T.StructType([*src.select(*keys).schema.fields, *[T.StructField(n, t) for n, t in made]]))
 
 
 def _parts_of(text: str, s: int, e: int) -> Iterator[tuple[int, int, int]]:
@@ -421,19 +521,18 @@ def redact(texts: DataFrame, model: Model, placeholders: Mapping[str, str], keys
 
     With ``parts`` also ``parts``: the items' types, places and texts cell by cell, each with the start of its cell, for ``redact_cells``.
     """
-    from pyspark.sql import types as T
-
-    src = texts.select(*keys, "text")
+    src = _with_names(texts, model, keys)
+    small = replace(model, names=None)
     part = pa.struct([("pii_type", pa.string()), ("at", pa.int64()), ("cell", pa.int64()), ("item", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, found = [], []
-            for t in batch.column("text").to_pylist():
+            for t, known in _each(batch, small):
                 cells = []
                 if t:
                     pieces, at = [], 0
-                    for kind, s, e in find_items(t, model):
+                    for kind, s, e in find_items(t, known):
                         pieces += [t[at:s], placeholders.get(kind, f"[{kind}]")]
                         at = e
                         if parts:
@@ -449,7 +548,7 @@ def redact(texts: DataFrame, model: Model, placeholders: Mapping[str, str], keys
             made = [pa.array(out, pa.string()), *([pa.array(found, pa.list_(part))] if parts else [])]
             yield pa.RecordBatch.from_arrays([*batch.select(keys).columns, *made], names=[*keys, "redacted", *(["parts"] if parts else [])])
 
-    fields = [*src.drop("text").schema.fields, T.StructField("redacted", T.StringType())]
+    fields = [*src.select(*keys).schema.fields, T.StructField("redacted", T.StringType())]
     if parts:
         fields.append(T.StructField("parts", T.ArrayType(T.StructType([T.StructField("pii_type", T.StringType()), T.StructField("at", T.LongType()), T.StructField("cell", T.LongType()), T.StructField("item", T.StringType())]))))
     return src.mapInArrow(run, T.StructType(fields))

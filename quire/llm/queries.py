@@ -63,7 +63,8 @@ def p3_redacted(spark: SparkSession, folder: str) -> DataFrame:
     """Request texts (``bbox_key`` -1) and the texts of their boxes, with placeholders."""
     texts = _personal_texts(spark, folder)
     model = personal.learn(texts)
-    marks = {r["pii_type"]: r["placeholder"] for r in _read(spark, folder, "pii_placeholders").collect()}  # five rows, fixed
+    kinds = _read(spark, folder, "pii_placeholders").filter(F.col("pii_type").isin(*personal.TYPES))
+    marks = {r["pii_type"]: r["placeholder"] for r in kinds.groupBy("pii_type").agg(F.min("placeholder").alias("placeholder")).collect()}  # one row per type
     done = Scratch(spark, "p3").write(personal.redact(texts, model, marks, ["request_id", "own"], parts=True), "redacted")
     whole = done.filter("own").select("request_id", F.lit(-1).cast("long").alias("bbox_key"), "redacted")
     # Boxes of requests that have neither text nor recognised lines are read by themselves.

@@ -1,5 +1,6 @@
 """Personal data."""
 
+from quire.llm import personal
 from quire.llm.personal import Model, find_items, find_personal, learn, redact
 
 MODEL = Model({"steuer-id": (1.0, 0.0), "tel": (0.0, 1.0), "unter": (0.0, 1.0)}, frozenset({"käthe", "rowan"}), frozenset({"winterholz", "harlow"}), frozenset({"⏎⏎"}), frozenset({"laut"}))
@@ -55,3 +56,26 @@ def test_boxes_are_redacted(spark, tmp_path):
     want = dict(zip(cells, ("Ort", "Kontakt: [NAME]", "[MAIL]", "Kontakt: [NAME]", "[NAME]")))
     assert {k: v for k, v in got.items() if k[1] >= 0} == {(16, body.index(c)): v for c, v in want.items()} | {(50, 0): "Mail [MAIL]"}
     assert got[16, -1] == "Ort   Kontakt: [NAME]   [MAIL]\nKontakt: [NAME]"
+
+
+def test_no_window_ends_the_search():
+    local = "a" + ".langername" * 40
+    assert items(f"Mail an {local}@silberbach.example. Ende") == [("EMAIL", f"{local}@silberbach.example")]
+    assert items(f"an x@{'sub.' * 60}example, danke") == [("EMAIL", f"x@{'sub.' * 60}example")]
+    assert items("wohnt in Nguyễnstraße 5, 00212 Rocheline") == [("STREET_ADDRESS", "Nguyễnstraße 5")]
+    assert items("Frau" + " " * 40 + "Käthe Winterholz") == [("PERSON_NAME", "Käthe Winterholz")]
+    assert items("Steuer-ID" + " " * 60 + "02 465 850 952   Nr. 5") == [("ID_NUMBER", "02 465 850 952")]
+    assert items("@" * 2000 + "A" * 2000 + "-A" * 2000) == []
+    many = "Mail a@b.example und Käthe Winterholz. " * 3000
+    assert len(items(many)) == 6000
+
+
+def test_a_lexicon_that_stays_a_table(spark, monkeypatch):
+    texts = [f"Sehr geehrte Frau {g} {f},\n\nKontakt: {g} {f}\nSteuer-ID 00 131043 W 142" for g in ("Wiebke", "Lene") for f in ("Tannholz", "Moorhof") for _ in range(4)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(90, None), (91, ""), (92, "Kontakt: Lene Moorhof-Tannholz und Lene Steinried"), (92, "Kontakt: Lene Moorhof-Tannholz und Lene Steinried")], "id long, text string")
+    small = learn(df)
+    monkeypatch.setattr(personal, "MOST_NAMES", 2)
+    large = learn(df)
+    assert small.names is None and large.names is not None and not large.given
+    for run in (lambda m: find_personal(df, m, ["id"]), lambda m: redact(df, m, {"PERSON_NAME": "[NAME]"}, ["id"])):
+        assert sorted(map(tuple, run(large).collect()), key=str) == sorted(map(tuple, run(small).collect()), key=str)
