@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quire.operators.spans import in_blocks
+
 #: The thresholds of a sweep: 0.05, 0.10 ... 0.95.
 THRESHOLDS = [round(0.05 * i, 2) for i in range(1, 20)]
 
@@ -58,6 +60,68 @@ def counts() -> list[Column]:
     return [F.sum(F.col(c).cast("long")).alias(n) for c, n in (("true_positive", "tp"), ("false_positive", "fp"), ("false_negative", "fn"))]
 
 
+def all_counts(prefixes: Sequence[str] = ("", "tokenizer_", "clf_")) -> list[Column]:
+    """Sums of the outcome flags of the whole, the tokenizer and the classifier (``tp``, ``tokenizer_tp`` ...), ``gt`` (rows with a right label)
+    and ``tn`` (rows that are none of the three)."""
+    flags = (("true_positive", "tp"), ("false_positive", "fp"), ("false_negative", "fn"))
+    sums = [F.sum(true_if(F.col(p + c)).cast("long")).alias(p + n) for p in prefixes for c, n in flags]
+    none = ~true_if(F.col("true_positive")) & ~true_if(F.col("false_positive")) & ~true_if(F.col("false_negative"))
+    return [*sums, F.count("label").alias("gt"), F.sum(none.cast("long")).alias("tn")]
+
+
+def with_stage_flags(joined: DataFrame) -> DataFrame:
+    """Outcome flags of the tokenizer (a right span was made, was not, or a span is of no use) and, on matched spans, of the classifier alone."""
+    matched, made, right = true_if(F.col("is_matched")), F.col("label_predicted").isNotNull(), F.col("label").isNotNull()
+    above, same = true_if(F.col("above_threshold")), true_if(F.col("label") == F.col("label_predicted"))
+    return joined.withColumns({
+        "tokenizer_true_positive": right & matched, "tokenizer_false_positive": ~right & made, "tokenizer_false_negative": right & ~matched,
+        "clf_true_positive": matched & right & above & same, "clf_false_positive": matched & right & above & ~same, "clf_false_negative": matched & right & ~above,
+    })
+
+
+def query_rows(joined: DataFrame, column: str, value) -> DataFrame:
+    """The rows that have ``value`` on either side, as right or as predicted ``column``. ``None`` gives all rows."""
+    return joined if value is None else joined.filter((F.col(column) == value) | (F.col(f"{column}_predicted") == value))
+
+
+def per_slice(flagged: DataFrame, column: str) -> DataFrame:
+    """tp, fp, fn and measures of each value of ``column`` (label, document, label set): a row counts for its right and its predicted value, once if
+    they agree. All slices in one pass."""
+    both = F.array_distinct(F.array_compact(F.array(column, f"{column}_predicted")))
+    rows = flagged.withColumn("_for", F.explode(both))
+    return measures(rows.groupBy(F.col("_for").alias(column)).agg(*counts()))
+
+
+def with_frequency(rows: DataFrame, label: str = "label") -> DataFrame:
+    """``rows`` with ``frequency``, the rows of the same label, 0 without one. Counts are joined back, so no label's rows meet in one task."""
+    sizes = rows.filter(F.col(label).isNotNull()).groupBy(F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("frequency"))
+    return rows.join(F.broadcast(sizes) if sizes.limit(100_001).count() <= 100_000 else sizes, rows[label] == sizes["_l"], "left").drop("_l").withColumn("frequency", F.coalesce("frequency", F.lit(0)))
+
+
+def disambiguated_ids(rows: DataFrame, document: str, identifier: str, order: Sequence[str]) -> DataFrame:
+    """``rows`` with ``disambiguated_id``: the identifier as text, with ``_1``, ``_2`` ... by ``order`` where it occurs more than once in its document. Null stays null."""
+    group = Window.partitionBy(document, identifier)
+    n, k = F.count(F.lit(1)).over(group), F.row_number().over(group.orderBy(*order))
+    text = F.col(identifier).cast("string")
+    return rows.withColumn("disambiguated_id", F.when(n > 1, F.concat_ws("_", text, k.cast("string"))).otherwise(text)).withColumn("disambiguated_id", F.when(F.col(identifier).isNotNull(), F.col("disambiguated_id")))
+
+
+def relations(flagged: DataFrame, right: str, predicted: str) -> DataFrame:
+    """``right``, ``predicted`` and ``relation`` of each compared row: TP, FP, FN or TN; ``no_match`` stands for the side that is missing."""
+    kind = F.when(true_if(F.col("true_positive")), "TP").when(true_if(F.col("false_positive")), "FP").when(true_if(F.col("false_negative")), "FN").otherwise("TN")
+    return flagged.select(F.coalesce(F.col(right).cast("string"), F.lit("no_match")).alias(right), F.coalesce(F.col(predicted).cast("string"), F.lit("no_match")).alias(predicted), kind.alias("relation"))
+
+
+def relation_matrix(flagged: DataFrame, right: str, predicted: str, most: int = 1000) -> DataFrame:
+    """The matrix of ``relations`` of one document: a row per right id, a column per predicted id, TN where the two do not meet. A matrix of more than
+    ``most`` columns raises; ``relations`` has it in long form whatever its size."""
+    long = relations(flagged, right, predicted)
+    columns = [r[0] for r in long.select(predicted).distinct().orderBy(predicted).limit(most + 1).collect()]
+    if len(columns) > most:
+        raise ValueError(f"more than {most} predicted ids: use relations")
+    return long.groupBy(right).pivot(predicted, columns).agg(F.first("relation")).fillna("TN")
+
+
 def measures(counted: DataFrame, digits: int = 6) -> DataFrame:
     """``precision``, ``recall`` and ``f1`` of a frame with tp, fp, fn; 0 where nothing can be divided."""
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
@@ -72,20 +136,21 @@ def per_label(flagged: DataFrame) -> DataFrame:
 
 
 def threshold_sweep(joined: DataFrame, by: str = "label", thresholds: Sequence[float] = tuple(THRESHOLDS)) -> DataFrame:
-    """tp, fp, fn and measures per label and threshold: one pass, each row standing for all thresholds at once.
+    """tp, fp, fn and measures per ``by`` and threshold: one pass, each row standing for all thresholds at once. ``by`` and ``{by}_predicted`` are
+    columns of ``joined``; a row counts for both.
 
     Counting by the last threshold a row reaches, then summing from above, avoids multiplying the rows.
     """
     same = true_if(F.col("label") == F.col("label_predicted")) & true_if(F.col("is_matched"))
     conf = F.coalesce("confidence_predicted", F.lit(-1.0))
     reached = sum((conf >= t).cast("int") for t in thresholds) if thresholds else F.lit(0)
-    both = F.array_distinct(F.array_compact(F.array("label", "label_predicted")))
-    rows = joined.withColumn("for_label", F.explode(both)).select(F.col("for_label").alias("label"), same.alias("same"), reached.alias("reached"), F.col("label").isNotNull().alias("right"), F.col("label_predicted").isNotNull().alias("made"))
-    cells = rows.groupBy("label", "reached").agg(F.sum((F.col("same")).cast("long")).alias("s"), F.sum((F.col("made") & ~F.col("same")).cast("long")).alias("w"), F.sum(F.col("right").cast("long")).alias("g"))
+    both = F.array_distinct(F.array_compact(F.array(by, f"{by}_predicted")))
+    rows = joined.withColumn("for", F.explode(both)).select(F.col("for").alias(by), same.alias("same"), reached.alias("reached"), F.col("label").isNotNull().alias("right"), F.col("label_predicted").isNotNull().alias("made"))
+    cells = rows.groupBy(by, "reached").agg(F.sum((F.col("same")).cast("long")).alias("s"), F.sum((F.col("made") & ~F.col("same")).cast("long")).alias("w"), F.sum(F.col("right").cast("long")).alias("g"))
     grid = cells.withColumn("at", F.explode(F.array(*[F.struct(F.lit(i + 1).alias("i"), F.lit(t).alias("threshold")) for i, t in enumerate(thresholds)])))
     hit = (F.col("reached") >= F.col("at.i")).cast("long")
     # A matched row counts as right and as made; below the threshold it is a miss.
-    out = grid.groupBy("label", F.col("at.threshold").alias("threshold")).agg(F.sum(F.col("s") * hit).alias("tp"), F.sum(F.col("w") * hit).alias("fp"), (F.sum("g") - F.sum(F.col("s") * hit)).alias("fn"))
+    out = grid.groupBy(by, F.col("at.threshold").alias("threshold")).agg(F.sum(F.col("s") * hit).alias("tp"), F.sum(F.col("w") * hit).alias("fp"), (F.sum("g") - F.sum(F.col("s") * hit)).alias("fn"))
     return measures(out)
 
 
@@ -96,13 +161,12 @@ def best_threshold(sweep: DataFrame, by: str = "label", metric: str = "f1") -> D
 
 
 def overlapping_false_positives(false_positives: DataFrame, gold: DataFrame, key: str) -> DataFrame:
-    """The false positives that overlap any right span of their document: a half join on the document and the range."""
-    g = gold.select(F.col(key).alias("_k"), F.col("start_offset").alias("_a"), F.col("end_offset").alias("_b"))
-    return false_positives.join(g, (false_positives[key] == g["_k"]) & (false_positives["start_offset"] < g["_b"]) & (g["_a"] < false_positives["end_offset"]), "left_semi")
-
-
-#: Characters of a block of positions: spans are only paired within the blocks they reach into.
-BLOCK = 64
+    """The false positives that overlap any right span of their document. The two meet by document and block of positions; the offsets
+    found pick the rows."""
+    f = in_blocks(false_positives.select(F.col(key).alias("_f"), F.col("start_offset").alias("_s"), F.col("end_offset").alias("_e")).distinct(), "_s", "_e", "_fb")
+    g = in_blocks(gold.select(F.col(key).alias("_k"), F.col("start_offset").alias("_a"), F.col("end_offset").alias("_b")), "_a", "_b", "_gb")
+    hit = f.join(g, (f["_f"] == g["_k"]) & (f["_fb"] == g["_gb"]) & (f["_s"] < g["_b"]) & (g["_a"] < f["_e"]), "left_semi").select("_f", "_s", "_e").distinct()
+    return false_positives.join(hit, (false_positives[key] == hit["_f"]) & (false_positives["start_offset"] == hit["_s"]) & (false_positives["end_offset"] == hit["_e"]), "left_semi")
 
 
 def compare_overlapping(gold: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
@@ -112,12 +176,8 @@ def compare_overlapping(gold: DataFrame, predicted: DataFrame, key: str) -> Data
     label and block of positions, each pair in the first block that both reach, so no document is paired with itself.
     """
 
-    def blocks(df: DataFrame, start: str, end: str, first: str, block: str) -> DataFrame:
-        upto = F.floor(F.col(end) / BLOCK)
-        return df.withColumn(first, F.floor(F.col(start) / BLOCK)).withColumn(block, F.explode_outer(F.sequence(F.col(first), upto)))
-
     p = predicted.select(F.col(key).alias(f"{key}_predicted"), F.col("label").alias("label_predicted"), F.col("start_offset").alias("start_predicted"), F.col("end_offset").alias("end_predicted"), *([F.col("confidence").alias("confidence_predicted")] if "confidence" in predicted.columns else []))
-    g, p = blocks(gold, "start_offset", "end_offset", "_first", "_block"), blocks(p, "start_predicted", "end_predicted", "_first_p", "_block_p")
+    g, p = in_blocks(gold, "start_offset", "end_offset", "_block", "_first"), in_blocks(p, "start_predicted", "end_predicted", "_block_p", "_first_p")
     touch = (p["start_predicted"] <= g["end_offset"]) & (p["end_predicted"] >= g["start_offset"]) & (g["_block"] == F.greatest(g["_first"], p["_first_p"]))
     joined = g.withColumn("_g", F.lit(True)).join(p.withColumn("_p", F.lit(True)), (g[key] == p[f"{key}_predicted"]) & (g["label"] == p["label_predicted"]) & (g["_block"] == p["_block_p"]) & touch, "full_outer")
     joined = joined.withColumn("is_matched", true_if(F.col("_g") & F.col("_p"))).withColumn("_k", F.coalesce(key, f"{key}_predicted")).withColumn("_l", F.coalesce("label", "label_predicted"))

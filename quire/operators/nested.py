@@ -6,7 +6,8 @@ schema of a level is inferred by one aggregation over all its nodes (field name
 then each field that is a list in any record is exploded into a child table, recursively.
 
 ``node_id`` is built from the record's own surrogate and the path of ordinals, so it is the same
-whenever a lost task is run again. Everything is a JVM expression; no Python runs on the data.
+whenever a lost task is run again. Each level's nodes are written once and read by everything below, so a record is parsed once and no level
+is made again from those above. Everything is a JVM expression; no Python runs on the data.
 """
 
 from __future__ import annotations
@@ -16,20 +17,21 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from quire.session import Scratch
+
 _ARRAY, _KEYED, _OBJECT, _NULL = "array", "keyed", "object", "null"
 _NUMERIC = {"bigint", "decimal", "double"}
 
 
 def _kind(v: Column) -> Column:
     """array | keyed (an object whose keys are all integers, hence a list by id) | object | null | scalar type."""
-    shape = F.schema_of_variant(v)
     keys = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
     keyed = (F.size(keys) > 0) & F.forall(keys, lambda k: k.rlike("^[0-9]+$"))
     return (
         F.when(v.isNull() | F.is_variant_null(v), _NULL)
-        .when(shape.startswith("ARRAY"), _ARRAY)
-        .when(shape.startswith("OBJECT"), F.when(keyed, _KEYED).otherwise(_OBJECT))
-        .otherwise(F.lower(F.regexp_extract(shape, r"^(\w+)", 1)))
+        .when(F.try_variant_get(v, "$", "array<variant>").isNotNull(), _ARRAY)
+        .when(keys.isNotNull(), F.when(keyed, _KEYED).otherwise(_OBJECT))
+        .otherwise(F.lower(F.regexp_extract(F.schema_of_variant(v), r"^(\w+)", 1)))
     )
 
 
@@ -152,6 +154,8 @@ def flatten_records(
         node = F.to_variant_object(source)
     own = F.to_json(F.struct(*[F.col(f"`{k}`") for k in keys]), {"ignoreNullFields": "false"})
     base = df.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)], own.alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("ordinal"), F.lit(None).cast("string").alias("item_key"), node.alias("node"))
+    scratch = Scratch(df.sparkSession, "nested")
+    base = scratch.write(base, "record")
     top = Level("record", base)
 
     def expand(level: Level, nodes: DataFrame, sources: dict[str, list[Column]], depth: int) -> None:
@@ -168,6 +172,7 @@ def flatten_records(
                 .withColumnRenamed("child_id", "node_id")
                 .filter(F.col("node").isNotNull() & ~F.is_variant_null("node"))
             )
+            child = scratch.write(child, "level")
             below = Level(name, child)
             describe(below, child, depth + 1)
             level.children[name] = below

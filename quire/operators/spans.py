@@ -14,6 +14,8 @@ import regex
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from quire.session import Scratch
+
 # The patterns of the stock tokenizers; a named or first group, where there is one, is the token.
 PATTERNS = {
     "whitespace": r"[^ \n\t\f]+",
@@ -143,10 +145,25 @@ def page_and_line_index(start: Column, text: Column) -> tuple[Column, Column]:
     return count("\f"), count("\n\f")
 
 
+#: Characters of a block of positions. Ranges meet within the blocks they reach into, never all with all of a document.
+BLOCK = 64
+
+
+def in_blocks(df: DataFrame, start: str, end: str, block: str = "_block", first: str | None = None) -> DataFrame:
+    """``df`` with one row per block that a range reaches into (its end counts); ``first`` names a column for the first of them."""
+    out = df.withColumn(block, F.explode(F.sequence(F.floor(F.col(start) / BLOCK), F.floor(F.col(end) / BLOCK))))
+    return out.withColumn(first, F.floor(F.col(start) / BLOCK)) if first else out
+
+
 def locate(spans: DataFrame, key: str, table: DataFrame, index: str) -> DataFrame:
-    """``spans`` with the ``index`` of the page or line (a table of ``pages`` or ``lines``) that holds their start: an interval join on the key."""
-    t = table.select(F.col(key).alias("_k"), index, F.col("start_offset").alias("_a"), F.col("end_offset").alias("_b"))
-    return spans.join(t, (spans[key] == t["_k"]) & (spans["start_offset"] >= t["_a"]) & (spans["start_offset"] <= t["_b"])).drop("_k", "_a", "_b")
+    """``spans`` with the ``index`` of the page or line (a table of ``pages`` or ``lines``) that holds their start.
+
+    Spans and parts meet by document and block of positions: a start lies in one block, so each span meets the few parts of its block, and a
+    long document is spread over its blocks.
+    """
+    t = in_blocks(table.select(F.col(key).alias("_k"), index, F.col("start_offset").alias("_a"), F.col("end_offset").alias("_b")), "_a", "_b", "_tb")
+    own = spans.withColumn("_sb", F.floor(F.col("start_offset") / BLOCK))
+    return own.join(t, (own[key] == t["_k"]) & (own["_sb"] == t["_tb"]) & (own["start_offset"] >= t["_a"]) & (own["start_offset"] <= t["_b"])).drop("_k", "_a", "_b", "_tb", "_sb")
 
 
 def merge_horizontal(spans: DataFrame, text: DataFrame, key: str, group: Sequence[str], max_gap: int = 5) -> DataFrame:
@@ -194,9 +211,13 @@ def neighbours(spans: DataFrame, key: str, line: str, n: int = 1) -> DataFrame:
 
 
 def contained_in(spans: DataFrame, gold: DataFrame, key: str, label: str) -> DataFrame:
-    """``spans`` with the ``label`` of the first gold span (by offsets) that contains them, null if none does."""
-    g = gold.select(F.col(key).alias("_k"), F.col("start_offset").alias("_a"), F.col("end_offset").alias("_b"), F.col(label).alias(f"_{label}"))
-    hit = spans.join(g, (spans[key] == g["_k"]) & (spans["start_offset"] >= g["_a"]) & (spans["end_offset"] <= g["_b"]), "left")
+    """``spans`` with the ``label`` of the first gold span (by offsets) that contains them, null if none does.
+
+    What contains a span reaches into the block of its start, so the two meet by document and block.
+    """
+    g = in_blocks(gold.select(F.col(key).alias("_k"), F.col("start_offset").alias("_a"), F.col("end_offset").alias("_b"), F.col(label).alias(f"_{label}")), "_a", "_b", "_gb")
+    own = spans.withColumn("_sb", F.floor(F.col("start_offset") / BLOCK))
+    hit = own.join(g, (own[key] == g["_k"]) & (own["_sb"] == g["_gb"]) & (own["start_offset"] >= g["_a"]) & (own["end_offset"] <= g["_b"]), "left")
     first = F.min_by(f"_{label}", F.struct("_a", "_b")).alias(label)
     return hit.groupBy(key, "start_offset", "end_offset").agg(first)
 
@@ -207,8 +228,10 @@ def vocabulary(tokens: DataFrame, token: str, min_freq: int = 1, max_size: int |
     counts = counts.filter(~F.col("token").isin(list(specials)))
     if max_size is not None:
         counts = counts.orderBy(F.desc("freq"), "token").limit(max_size)
-    # Ranks without gathering the vocabulary in one task: sort by range, then add the sizes of the partitions before.
+    # Ranks without gathering the vocabulary in one task: sort by range, then add the sizes of the partitions before. The sorted table is written, so
+    # sizes and places are those of one run.
     ordered = counts.orderBy(F.desc("freq"), "token").withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    ordered = Scratch(tokens.sparkSession, "vocabulary").write(ordered, "ordered")
     sizes = {r["_p"]: r["n"] for r in ordered.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
     offset, offsets = len(specials), {}
     for p in sorted(sizes):
@@ -220,3 +243,31 @@ def vocabulary(tokens: DataFrame, token: str, min_freq: int = 1, max_size: int |
         return head
     body = ordered.select("token", (shift[F.col("_p")] + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).cast("long").alias("idx"), "freq")
     return head.unionByName(body)
+
+
+def numericalize(tokens: DataFrame, key: str, place: str, token: str, vocab: DataFrame, max_length: int | None = None, unknown: str = "<unk>", pad: str = "<pad>") -> DataFrame:
+    """``key`` and ``indices``: each document's tokens in order of ``place`` as numbers of the vocabulary; unknown ones become that of ``unknown``.
+
+    Only the first ``max_length`` tokens count, if it is given (the model's own limit). A document without tokens (a null token) gives the number of
+    ``pad``. Tokens meet the vocabulary by a join on the token, its frequent entries as broadcast by the optimizer where it is small.
+    """
+    special = {r["token"]: r["idx"] for r in vocab.filter(F.col("token").isin(unknown, pad)).collect()}  # two rows
+    known = vocab.select(F.col("token").alias("_v"), F.col("idx").alias("_i"))
+    at = tokens.join(known, tokens[token] == known["_v"], "left").withColumn("_i", F.coalesce("_i", F.lit(special.get(unknown))))
+    listed = at.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col(token).isNotNull(), F.struct(F.col(place).alias("p"), F.col("_i").alias("i"))))).alias("t"))  # the tokens of one document
+    numbers = F.transform("t", lambda x: x["i"])
+    if max_length is not None:
+        numbers = F.slice(numbers, 1, max_length)
+    return listed.select(key, F.when(F.size("t") == 0, F.array(F.lit(special.get(pad)))).otherwise(numbers).alias("indices"))
+
+
+def sentences_of_spans(spans: DataFrame, key: str, punctuation: str = ".!?") -> DataFrame:
+    """Spans cut after every mark of ``punctuation``, with ``sentence``, counted from 0 in a document: a mark ends one, and a sentence runs on over
+    spans that end without a mark. ``spans`` has ``key``, ``start_offset`` and ``offset_string``."""
+    pieces = F.expr(f"regexp_extract_all(offset_string, '[^{punctuation}]*[{punctuation}]|[^{punctuation}]+$', 0)")
+    cut = spans.filter("offset_string <> ''").select(key, "start_offset", F.posexplode(F.transform(pieces, lambda x: x)).alias("_n", "_t"), pieces.alias("_all"))
+    before = F.aggregate(F.slice("_all", 1, F.col("_n")), F.lit(0).cast("long"), lambda acc, x: acc + F.length(x))
+    cut = cut.select(key, (F.col("start_offset") + before).alias("start_offset"), (F.col("start_offset") + before + F.length("_t")).alias("end_offset"), F.col("_t").alias("offset_string"))
+    w = Window.partitionBy(key).orderBy("start_offset").rowsBetween(Window.unboundedPreceding, -1)
+    ended = F.col("offset_string").rlike(f"[{punctuation}]$").cast("long")
+    return cut.withColumn("sentence", F.coalesce(F.sum(ended).over(w), F.lit(0)))
