@@ -175,3 +175,26 @@ def normalize(col: Column, data_type: str) -> Column:
         "True/False": to_bool, "bool": to_bool, "Percentage": to_percentage, "percentage": to_percentage, "Text": lambda c: c, "str": lambda c: c,
     }
     return kinds[data_type](col).cast("string") if data_type in kinds else F.lit(None).cast("string")
+
+
+def to_python_float(col: Column) -> Column:
+    """Texts that a programming language reads as a number, 0 for all others and from the largest single-precision number on: blanks around
+    it, single underscores between digits and an exponent may stand, words for infinity and no number too."""
+    t = F.lower(F.regexp_replace(F.regexp_replace(col, r"^\s+", ""), r"\s+\z", ""))
+    digits = r"[0-9](?:_?[0-9])*"
+    number = t.rlike(rf"^[+-]?(?:{digits}\.?(?:{digits})?|\.{digits})(?:e[+-]?{digits})?\z")
+    value = F.when(number, F.regexp_replace(t, "_", "").try_cast("double")).when(t.rlike(r"^-inf(?:inity)?\z"), F.lit(float("-inf")))
+    return F.when(value < FLOAT32_MAX, value).otherwise(0.0)
+
+
+def days_since_2010(col: Column, iso: Column | None = None) -> Column:
+    """Days from 1 January 2010 to a date written with two dots or strokes (0 of them count as 1); 0 for other texts. ``iso``: the text's date, where it is known."""
+    formed = (F.length(col) > 5) & (((F.substring(col, 3, 1) == ".") & (F.substring(col, 6, 1) == ".")) | ((F.substring(col, 3, 1) == "/") & (F.substring(col, 6, 1) == "/")))
+    days = F.datediff((to_date(col) if iso is None else iso).try_cast("date"), F.lit("2010-01-01").cast("date"))
+    return F.coalesce(F.when(formed, let(days, lambda d: F.when(d == 0, 1).otherwise(d))), F.lit(0))
+
+
+def date_parts(col: Column, iso: Column | None = None) -> tuple[Column, Column, Column]:
+    """Year, month and day of a date, 0 where there is none. ``iso``: the text's date, where it is known."""
+    iso = to_date(col) if iso is None else iso
+    return tuple(F.coalesce(F.substring(iso, a, n).try_cast("int"), F.lit(0)) for a, n in ((1, 4), (6, 2), (9, 2)))

@@ -55,7 +55,9 @@ def unique_chars(col: Column) -> Column:
 
 
 def duplicate_chars(col: Column) -> Column:
-    return F.length(col).cast("long") - unique_chars(col)
+    """Characters that occur more than once, each time counted."""
+    chars = F.filter(F.split(col, ""), lambda c: c != "")
+    return F.aggregate(F.array_distinct(chars), F.lit(0).cast("long"), lambda acc, c: acc + F.when(F.size(F.filter(chars, lambda x: x == c)) > 1, F.size(F.filter(chars, lambda x: x == c))).otherwise(0))
 
 
 def accented_count(col: Column) -> Column:
@@ -67,8 +69,8 @@ def feature_columns(col: Column) -> dict[str, Column]:
     s = strip_accents(col)
     out = {
         "feat_vowel_len": vowel_count(s), "feat_special_len": special_count(s), "feat_space_len": space_count(s), "feat_digit_len": digit_count(s), "feat_len": F.length(s).cast("long"), "feat_upper_len": upper_count(s),
-        "feat_unique_len": unique_chars(s), "feat_duplicate_len": duplicate_chars(s), "feat_accent_len": accented_count(col),
-        "feat_starts_plus": s.startswith("+").cast("int"), "feat_starts_minus": s.startswith("-").cast("int"), "feat_ends_plus": s.endswith("+").cast("int"), "feat_ends_minus": s.endswith("-").cast("int"),
+        "feat_unique_char_count": unique_chars(s), "feat_duplicate_count": duplicate_chars(s), "accented_char_count": accented_count(col),
+        "feat_starts_with_plus": s.startswith("+").cast("int"), "feat_starts_with_minus": s.startswith("-").cast("int"), "feat_ends_with_plus": s.endswith("+").cast("int"), "feat_ends_with_minus": s.endswith("-").cast("int"),
     }
     low = F.lower(s)
     return out | {f"feat_substring_count_{name}": count_substring(low, needle) for name, needle in NEEDLES.items()}

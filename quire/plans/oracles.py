@@ -69,12 +69,12 @@ def _feature(name: str) -> str:
         return f"(length(lower({s})) - length(replace(lower({s}), '{needle}', ''))) / {len(needle)}"
     return {
         "feat_vowel_len": f"len(regexp_extract_all(lower({s}), '[aeiou]'))", "feat_digit_len": f"len(regexp_extract_all({s}, '\\p{{Nd}}'))", "feat_upper_len": f"len(regexp_extract_all({s}, '\\p{{Lu}}'))", "feat_len": f"length({s})",
-        "feat_unique_len": f"len(list_distinct(string_split({s}, '')))", "feat_starts_minus": f"CAST(starts_with({s}, '-') AS INT)", "feat_ends_minus": f"CAST(ends_with({s}, '-') AS INT)",
+        "feat_unique_char_count": f"len(list_distinct(string_split({s}, '')))", "feat_starts_with_minus": f"CAST(starts_with({s}, '-') AS INT)", "feat_ends_with_minus": f"CAST(ends_with({s}, '-') AS INT)",
     }[name]
 
 
 def oracle_sql() -> dict[str, str]:
-    feats = ("feat_vowel_len", "feat_digit_len", "feat_upper_len", "feat_len", "feat_unique_len", "feat_starts_minus", "feat_ends_minus", "feat_substring_count_e", "feat_substring_count_sch", "feat_substring_count_period", "feat_substring_count_slash")
+    feats = ("feat_vowel_len", "feat_digit_len", "feat_upper_len", "feat_len", "feat_unique_char_count", "feat_starts_with_minus", "feat_ends_with_minus", "feat_substring_count_e", "feat_substring_count_sch", "feat_substring_count_period", "feat_substring_count_slash")
     sums = "SELECT doc_id, count(*) AS spans, CAST(sum(start_offset) AS BIGINT) AS sum_start, CAST(sum(end_offset) AS BIGINT) AS sum_end FROM ({}) GROUP BY doc_id"
     after_colon = "regexp_extract(full_match, '^.[ \\t]((?s).*)$', 1)"
     out = {
@@ -155,7 +155,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT CASE WHEN a.request_id IS NULL THEN 'new' WHEN b.request_id IS NULL THEN 'deleted' WHEN b.s > a.s THEN 'updated' ELSE 'unchanged' END AS change, count(*) AS n FROM a FULL JOIN b USING (request_id) GROUP BY 1""",
         "response_payloads": """SELECT request_id, count(DISTINCT number) AS pages, count(*) AS categories FROM page_categories GROUP BY request_id HAVING count(*) <= 10000""",
     }
-    return out
+    return out | _view_sql() | _pattern_sql()
 
 
 def _sweep() -> str:
@@ -178,3 +178,97 @@ def _category_eval() -> str:
         k AS (SELECT a AS class FROM j UNION SELECT p FROM j WHERE p IS NOT NULL),
         c AS (SELECT class, count(*) FILTER (a = class AND coalesce(p = class, FALSE)) AS tp, count(*) FILTER (a <> class AND p = class) AS fp, count(*) FILTER (a = class AND NOT coalesce(p = class, FALSE)) AS fn, count(*) AS total FROM k, j GROUP BY class)
         SELECT class, tp, fp, fn, total - tp - fp - fn AS tn, {_MEASURES} FROM c"""
+
+
+_ANNOTATED = "ann AS (SELECT *, CAST(start_offset // 40 AS BIGINT) AS annotation_id, start_offset % 3 = 0 AS is_correct, CAST(0.1 AS DOUBLE) * label AS threshold, CAST(start_offset // 200 AS BIGINT) AS set_id FROM pred)"
+_PAGE_AT = _PAGES + ", placed AS (SELECT a.*, p.page_index FROM ann a ASOF JOIN pages p ON a.doc_id = p.doc_id AND a.start_offset >= p.start_offset)"
+_JUDGED = _FLAGS.format(t=0.3) + """,
+    judged AS (SELECT *, pl IS NOT NULL AND above AND NOT hit AS wrong, label IS NOT NULL AND NOT hit AS missed, doc_id IS NOT NULL AND pd IS NOT NULL AS matched FROM flags)"""
+_COUNTS = "count(*) FILTER (hit) AS tp, count(*) FILTER (wrong) AS fp, count(*) FILTER (missed) AS fn"
+_MERGED = f"""t AS ({_T2}), g AS (SELECT doc_id, start_offset, end_offset, CAST(length(tok) % 5 AS BIGINT) AS label FROM t),
+    l AS (SELECT *, lag(end_offset) OVER (PARTITION BY doc_id, label ORDER BY start_offset) AS prev FROM g),
+    f AS (SELECT l.*, CASE WHEN prev IS NULL OR start_offset - prev > 5 OR (start_offset > prev AND trim(substr(d.text, CAST(prev + 1 AS BIGINT), start_offset - prev), ' ') <> '') THEN 1 ELSE 0 END AS fresh FROM l JOIN documents d USING (doc_id)),
+    i AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, label ORDER BY start_offset) AS island FROM f),
+    merged AS (SELECT doc_id, label, min(start_offset) AS start_offset, max(end_offset) AS end_offset FROM i GROUP BY doc_id, label, island)"""
+
+
+def _view_sql() -> dict[str, str]:
+    return {
+        "status_views": """WITH s AS (SELECT n_pages - 1 AS k FROM documents), v AS (SELECT unnest([0, 1, 2, 3, 4]) AS k, unnest(['no_status', 'preparation', 'training', 'test', 'excluded']) AS view)
+            SELECT view, count(s.k) AS n FROM v LEFT JOIN s USING (k) GROUP BY view UNION ALL SELECT 'virtual', count(*) FROM s WHERE k IS NULL""",
+        "annotation_view": f"""WITH {_SIDES}, {_ANNOTATED}, u AS (SELECT * FROM ann WHERE is_correct OR (confidence <> 0 AND confidence >= threshold)),
+            w AS (SELECT doc_id, annotation_id, label, min(start_offset) AS s, max(end_offset) AS e, count(*) AS parts, bool_or(greatest(start_offset, 100) < least(end_offset, 900)) AS hit FROM u GROUP BY ALL),
+            p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, e, annotation_id) - 1 AS place FROM w WHERE hit)
+            SELECT doc_id, count(*) AS annotations, CAST(sum(parts) AS BIGINT) AS parts, CAST(sum(s) AS BIGINT) AS sum_start, CAST(sum(place * e) AS BIGINT) AS places FROM p GROUP BY doc_id""",
+        "distinct_span_view": f"""WITH {_SIDES}, b AS (SELECT doc_id, start_offset, end_offset, label, 0 AS side FROM gold UNION ALL SELECT doc_id, start_offset, end_offset, label, 1 FROM pred),
+            d AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY doc_id, start_offset, end_offset ORDER BY side) = 1)
+            SELECT label, CAST(side AS BIGINT) AS side, count(*) AS n, CAST(sum(start_offset) AS BIGINT) AS sum_start FROM d GROUP BY ALL""",
+        "annotation_set_view": f"""WITH {_SIDES}, {_ANNOTATED}, {_LINES}, s AS (SELECT doc_id, set_id, min(start_offset) AS s, max(end_offset) AS e, count(DISTINCT annotation_id) AS a FROM ann GROUP BY ALL),
+            f AS (SELECT s.*, l.line_index FROM s ASOF JOIN lines l ON s.doc_id = l.doc_id AND s.s >= l.start_offset)
+            SELECT doc_id, count(*) AS sets, CAST(sum(s) AS BIGINT) AS sum_start, CAST(sum(e) AS BIGINT) AS sum_end, CAST(sum(a) AS BIGINT) AS annotations, CAST(sum(line_index) AS BIGINT) AS lines FROM f GROUP BY doc_id""",
+        "filled_text": f"""WITH t AS ({_T3}), e AS (SELECT doc_id, start_offset, end_offset FROM t UNION ALL SELECT doc_id, length(text), length(text) FROM documents WHERE text IS NOT NULL),
+            u AS (SELECT *, coalesce(max(end_offset) OVER (PARTITION BY doc_id ORDER BY start_offset, end_offset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM e),
+            gaps AS (SELECT u.doc_id, CAST(upto AS BIGINT) AS a, regexp_extract_all(substr(d.text, CAST(upto + 1 AS BIGINT), CAST(start_offset - upto AS BIGINT)), '[\n\f]|[^\n\f]+') AS parts FROM u JOIN documents d USING (doc_id) WHERE start_offset > upto),
+            p AS (SELECT doc_id, a, unnest(parts) AS part, unnest(range(len(parts))) AS k FROM gaps),
+            q AS (SELECT doc_id, a + sum(length(part)) OVER (PARTITION BY doc_id, a ORDER BY k) AS e, length(part) AS n FROM p)
+            SELECT doc_id, count(*) AS n, CAST(sum(e - n) AS BIGINT) AS sum_start, CAST(sum(e) AS BIGINT) AS sum_end FROM q GROUP BY doc_id""",
+        "page_set_view": f"WITH {_SIDES}, {_ANNOTATED}, {_PAGE_AT} SELECT doc_id, page_index, count(DISTINCT set_id) AS sets FROM placed GROUP BY ALL",
+        "invalid_spans": f"""WITH t AS ({_T2}), {_LINES}, m AS (SELECT doc_id, start_offset AS s, end_offset + CASE length(tok) % 5 WHEN 0 THEN -20 ELSE (length(tok) % 5) * 3 END AS e FROM t),
+            a AS (SELECT m.*, l.start_offset + length(l.line_text) AS line_end, length(d.text) AS n FROM m ASOF JOIN lines l ON m.doc_id = l.doc_id AND m.s >= l.start_offset JOIN documents d ON d.doc_id = m.doc_id)
+            SELECT CASE WHEN e <= s THEN 'empty' WHEN e > n THEN 'outside' WHEN e > line_end THEN 'lines' ELSE 'none' END AS violation, count(*) AS n FROM a GROUP BY 1""",
+        "document_evaluation": f"""WITH {_SIDES}, {_JUDGED}, c AS (SELECT coalesce(doc_id, pd) AS doc_id, {_COUNTS} FROM judged GROUP BY 1) SELECT doc_id, tp, fp, fn, {_MEASURES} FROM c""",
+        "stage_counts": f"""WITH {_SIDES}, {_JUDGED} SELECT {_COUNTS}, count(*) FILTER (matched) AS tokenizer_tp, count(*) FILTER (label IS NULL AND pl IS NOT NULL) AS tokenizer_fp, count(*) FILTER (label IS NOT NULL AND NOT matched) AS tokenizer_fn,
+            count(*) FILTER (matched AND above AND label = pl) AS clf_tp, count(*) FILTER (matched AND above AND label <> pl) AS clf_fp, count(*) FILTER (matched AND NOT above) AS clf_fn, count(label) AS gt,
+            count(*) FILTER (NOT hit AND NOT wrong AND NOT missed) AS tn FROM judged""",
+        "label_slice": f"WITH {_SIDES}, {_JUDGED} SELECT count(*) AS rows, {_COUNTS} FROM judged WHERE label = 3 OR pl = 3",
+        "label_frequency": f"WITH {_SIDES} SELECT label, count(*) AS rows, CASE WHEN label IS NULL THEN 0 ELSE count(*) END AS frequency FROM joined GROUP BY label",
+        "disambiguated_labels": f"""WITH t AS ({_T2}), i AS (SELECT doc_id, (start_offset // 30) * 10 + length(tok) % 5 AS id, start_offset FROM t),
+            k AS (SELECT *, count(*) OVER (PARTITION BY doc_id, id) AS n FROM i) SELECT doc_id, count(DISTINCT id) + CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) - count(DISTINCT CASE WHEN n > 1 THEN id END) AS ids, CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS told_apart FROM k GROUP BY doc_id""",
+        "relation_counts": f"""WITH {_SIDES}, {_JUDGED} SELECT coalesce(CAST(label AS VARCHAR), 'no_match') AS label, coalesce(CAST(pl AS VARCHAR), 'no_match') AS label_predicted,
+            CASE WHEN hit THEN 'TP' WHEN wrong THEN 'FP' WHEN missed THEN 'FN' ELSE 'TN' END AS relation, count(*) AS n FROM judged GROUP BY ALL""",
+        "template_merge": f"""WITH {_SIDES}, o AS (SELECT g.*, p.start_offset // 40 AS a FROM gold g LEFT JOIN pred p USING (doc_id, start_offset, end_offset)),
+            v AS (SELECT doc_id, a, label, count(*) AS n, min(start_offset) AS s FROM o WHERE a IS NOT NULL GROUP BY ALL), b AS (SELECT doc_id, a, label AS best FROM v QUALIFY row_number() OVER (PARTITION BY doc_id, a ORDER BY n DESC, s) = 1)
+            SELECT coalesce(best, label) AS label, count(*) AS spans, count(a) AS merged FROM o LEFT JOIN b USING (doc_id, a) GROUP BY 1""",
+        "multiline_labels": f"WITH {_SIDES}, s AS (SELECT doc_id, start_offset // 7 AS a, label, count(*) AS n FROM pred GROUP BY ALL) SELECT label, max(n) > 1 AS multiline FROM s GROUP BY label",
+        "line_sentences": f"""WITH {_LINES}, p AS (SELECT doc_id, start_offset, unnest(parts) AS part, unnest(range(len(parts))) AS k FROM (SELECT doc_id, start_offset, regexp_extract_all(line_text, '[^.!?]*[.!?]|[^.!?]+$') AS parts FROM lines)),
+            q AS (SELECT doc_id, start_offset + sum(length(part)) OVER (PARTITION BY doc_id, start_offset ORDER BY k) AS e, regexp_matches(part, '[.!?]$') AS ended FROM p),
+            r AS (SELECT doc_id, e, coalesce(sum(CASE WHEN ended THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM q)
+            SELECT doc_id, count(*) AS pieces, CAST(max(s) + 1 AS BIGINT) AS sentences, CAST(sum(e) AS BIGINT) AS sum_end FROM r GROUP BY doc_id""",
+        "numbered_texts": f"""WITH t AS (SELECT doc_id, lower(tok) AS token FROM ({_T2})), c AS (SELECT token, count(*) AS freq FROM t GROUP BY 1 HAVING count(*) >= 5), v AS (SELECT token, 1 + row_number() OVER (ORDER BY freq DESC, token) AS idx FROM c)
+            SELECT doc_id, count(*) AS tokens, CAST(sum(coalesce(idx, 0)) AS BIGINT) AS sum_idx FROM t LEFT JOIN v USING (token) GROUP BY doc_id""",
+        "number_readings": f"""WITH t AS (SELECT tok, CAST(replace(tok, '_', '') AS DOUBLE) AS v FROM ({_T2}) WHERE regexp_full_match(lower(tok), '[+-]?(?:[0-9](?:_?[0-9])*\.?(?:[0-9](?:_?[0-9])*)?|\.[0-9](?:_?[0-9])*)(?:e[+-]?[0-9](?:_?[0-9])*)?'))
+            SELECT length(tok) AS chars, count(*) AS n, round(sum(CASE WHEN abs(v) < 1e9 THEN v END), 2) AS total FROM t WHERE v <> 0 AND v < 3.4028235e38 GROUP BY 1""",
+        "date_readings": """WITH d AS (SELECT try_strptime(x, '%d.%m.%Y')::DATE AS d FROM (SELECT unnest(regexp_extract_all(text, '\\b[0-3][0-9]\\.[01][0-9]\\.20[0-9][0-9]\\b')) AS x FROM documents)),
+            r AS (SELECT d, CASE WHEN d = DATE '2010-01-01' THEN 1 ELSE d - DATE '2010-01-01' END AS days FROM d WHERE d IS NOT NULL)
+            SELECT year(d) AS year, count(*) AS n, CAST(sum(days) AS BIGINT) AS days, CAST(sum(month(d)) AS BIGINT) AS months, CAST(sum(day(d)) AS BIGINT) AS month_days FROM r GROUP BY 1""",
+        "relative_line_features": f"""WITH {_LINES}, d AS (SELECT doc_id, line_index, len(regexp_extract_all(line_text, '\\p{{Nd}}')) AS n FROM lines),
+            w AS (SELECT doc_id, n, coalesce(lag(n) OVER o, 0) AS p1, coalesce(lag(n, 2) OVER o, 0) AS p2, coalesce(lead(n) OVER o, 0) AS n1, coalesce(lead(n, 2) OVER o, 0) AS n2 FROM d WINDOW o AS (PARTITION BY doc_id ORDER BY line_index))
+            SELECT doc_id, CAST(sum(p1 * n) AS BIGINT) AS prev1, CAST(sum(p2 * n) AS BIGINT) AS prev2, CAST(sum(n1 * n) AS BIGINT) AS next1, CAST(sum(n2 * n) AS BIGINT) AS next2 FROM w GROUP BY doc_id""",
+        "page_line_spans": f"""WITH {_BOXES}, l AS (SELECT request_id, page_number, line_index, min(bbox_key) AS s, max(bbox_key) + 1 AS e FROM boxes WHERE NOT regexp_full_match(text, '\s*') GROUP BY ALL)
+            SELECT request_id, count(*) AS lines, CAST(sum(s) AS BIGINT) AS sum_start, CAST(sum(e) AS BIGINT) AS sum_end FROM l GROUP BY request_id""",
+        "previous_page_texts": f"""WITH {_REQUEST_PAGES}, b AS (SELECT request_id, CAST(page_index AS BIGINT) AS page_index, page_text, regexp_full_match(page_text, '\s*') AS is_blank FROM rp)
+            SELECT request_id, page_index, is_blank, CAST(coalesce(length(last_value(CASE WHEN NOT is_blank THEN page_text END IGNORE NULLS) OVER (PARTITION BY request_id ORDER BY page_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), -1) AS BIGINT) AS previous_chars FROM b""",
+    }
+
+
+def _pattern_sql() -> dict[str, str]:
+    named = {"numbers": r"\d[\d.,]*", "capitals": r"[A-Z]{2,}", "whole": PATTERNS["whitespace"]}
+    found = " UNION ALL ".join(f"SELECT '{n}' AS pattern, doc_id, start_offset, end_offset FROM ({tokens(p)})" for n, p in named.items())
+    amounts = tokens(r"\d+[.,]\d\d")
+    return {
+        "pattern_evaluation": f"""WITH t AS ({_T2}), g AS (SELECT DISTINCT doc_id, start_offset, end_offset FROM t), f AS ({found}),
+            c AS (SELECT pattern, count(*) AS findings, count(g.doc_id) AS correct, count(DISTINCT f.doc_id) AS documents, (SELECT count(*) FROM g) AS annotations FROM f LEFT JOIN g USING (doc_id, start_offset, end_offset) GROUP BY pattern)
+            SELECT pattern, findings, correct, documents, annotations, round(correct / findings, 6) AS "precision", round(correct / annotations, 6) AS recall, round(correct / (correct + 0.5 * (findings - correct + annotations - correct)), 6) AS f1 FROM c""",
+        "bio_tags": f"""WITH {_MERGED}, p AS ({_T3}), c AS (SELECT p.doc_id, p.start_offset, p.end_offset, m.start_offset AS a, m.end_offset AS b, CAST(m.label AS VARCHAR) AS l FROM p ASOF LEFT JOIN merged m ON p.doc_id = m.doc_id AND p.start_offset >= m.start_offset),
+            h AS (SELECT doc_id, start_offset, end_offset, CASE WHEN b >= end_offset THEN a END AS a, CASE WHEN b >= end_offset THEN l END AS l FROM c),
+            n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, a, l ORDER BY start_offset) AS k FROM h)
+            SELECT CASE WHEN l IS NULL THEN 'O' WHEN k = 1 THEN 'B-' || l ELSE 'I-' || l END AS tag, count(*) AS n FROM n GROUP BY 1""",
+        "overlapping_comparison": f"""WITH {_SIDES}, m AS (SELECT g.doc_id, g.label, g.start_offset AS s, g.end_offset AS e, p.start_offset AS ps, p.end_offset AS pe FROM gold g JOIN pred p ON g.doc_id = p.doc_id AND g.label = p.label AND p.start_offset <= g.end_offset AND p.end_offset >= g.start_offset),
+            r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, label, s, e ORDER BY ps, pe) AS ng, row_number() OVER (PARTITION BY doc_id, label, ps, pe ORDER BY s, e) AS np FROM m),
+            missed AS (SELECT count(*) AS n FROM gold g ANTI JOIN m ON g.doc_id = m.doc_id AND g.label = m.label AND g.start_offset = m.s AND g.end_offset = m.e),
+            wrong AS (SELECT count(*) AS n FROM pred p ANTI JOIN m ON p.doc_id = m.doc_id AND p.label = m.label AND p.start_offset = m.ps AND p.end_offset = m.pe)
+            SELECT (SELECT count(*) FROM r WHERE NOT (ng > 1 AND np > 1)) AS tp, (SELECT n FROM wrong) AS fp, (SELECT n FROM missed) AS fn""",
+        "group_matches": f"""WITH t AS ({amounts}), w AS (SELECT start_offset AS s, end_offset AS e FROM t) SELECT 'whole' AS regex_group, count(*) AS n, CAST(sum(s) AS BIGINT) AS sum_start, CAST(sum(e - 3) AS BIGINT) AS sum_end FROM w
+            UNION ALL SELECT '2', count(*), CAST(sum(e - 2) AS BIGINT), CAST(sum(e) AS BIGINT) FROM w UNION ALL SELECT '0', count(*), CAST(sum(s) AS BIGINT), CAST(sum(e) AS BIGINT) FROM w""",
+        "candidate_pieces": """SELECT doc_id, len(m) AS candidates, length(regexp_replace(text, '[0-9]+', '', 'g')) AS other_chars, 2 * len(m) + 1 AS pieces FROM (SELECT doc_id, text, regexp_extract_all(text, '[0-9]+') AS m FROM documents WHERE text IS NOT NULL)""",
+    }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.functions import geometry, normalize, strings
-from quire.operators import categorize, evaluate, features, layout, merge, nested, patterns, spans, split
+from quire.operators import categorize, evaluate, extraction, features, label_patterns, layout, merge, nested, patterns, spans, split, views
 from quire.sources import payloads, project as sources
 
 
@@ -142,11 +142,12 @@ def vocabulary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def string_features(spark: SparkSession, folder: str) -> DataFrame:
-    """String features of all tokens, summed per document."""
-    t = spans.tokenize(_documents(spark, folder), "doc_id", "text", "whitespace")
-    feats = strings.feature_columns(F.col("offset_string"))
-    picked = {n: feats[n] for n in ("feat_vowel_len", "feat_digit_len", "feat_upper_len", "feat_len", "feat_unique_len", "feat_starts_minus", "feat_ends_minus", "feat_substring_count_e", "feat_substring_count_sch", "feat_substring_count_period", "feat_substring_count_slash")}
-    return t.withColumns(picked).groupBy("doc_id").agg(*[F.sum(n).alias(n) for n in picked])
+    """String features of all tokens, summed per document: each computed once per distinct token."""
+    names = ("feat_vowel_len", "feat_digit_len", "feat_upper_len", "feat_len", "feat_unique_char_count", "feat_starts_with_minus", "feat_ends_with_minus", "feat_substring_count_e", "feat_substring_count_sch", "feat_substring_count_period", "feat_substring_count_slash")
+    t = spans.tokenize(_documents(spark, folder), "doc_id", "text", "whitespace").groupBy("doc_id", "offset_string").agg(F.count(F.lit(1)).alias("n"))
+    feats = strings.feature_columns(F.col("_s"))
+    made = t.select(F.col("offset_string").alias("_s")).distinct().select("_s", *[feats[n].alias(n) for n in names])
+    return t.join(made, t["offset_string"] == made["_s"]).groupBy("doc_id").agg(*[F.sum(F.col(n) * F.col("n")).alias(n) for n in names])
 
 
 def suggested_patterns(spark: SparkSession, folder: str) -> DataFrame:
@@ -395,20 +396,207 @@ def vertical_merge(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def label_classifier(spark: SparkSession, folder: str) -> DataFrame:
-    """A forest that tells page categories' names from the document's source features; share predicted right per category."""
-    docs = _read(spark, folder, "documents").filter("category_id is not null").select("doc_id", F.col("category_id").cast("string").alias("label"), "text").filter("text <> ''")
+    """A forest that tells documents' categories from counts in their texts, fitted to all languages but English; the share of English documents told right, per category."""
+    docs = _read(spark, folder, "documents").filter("category_id is not null and text <> ''").select("doc_id", "lang", F.col("category_id").cast("string").alias("label"), "text")
     feats = {"a": strings.digit_count(F.col("text")), "b": strings.upper_count(F.col("text")), "c": F.length("text"), "d": strings.count_substring(F.col("text"), "€"), "e": strings.count_substring(F.col("text"), "\n")}
-    frame = docs.select("doc_id", "label", *[c.cast("double").alias(n) for n, c in feats.items()])
-    model = features.fit_label_classifier(frame, list(feats), "label", trees=10, depth=6)
-    scored = features.predict_labels(model, frame, list(feats))
+    frame = docs.select("doc_id", "lang", "label", *[c.cast("double").alias(n) for n, c in feats.items()])
+    model = features.fit_label_classifier(frame.filter("lang <> 'en' or lang is null"), list(feats), "label", trees=10, depth=6)
+    scored = features.predict_labels(model, frame.filter("lang = 'en'"), list(feats))
     return scored.groupBy("label").agg(F.round(F.avg((F.col("label") == F.col("label_predicted")).cast("double")), 6).alias("right"), F.count(F.lit(1)).alias("n"))
 
 
+# ---------------------------------------------------------------- views, slices, patterns, extraction
+
+
+def _annotated(spark: SparkSession, folder: str) -> DataFrame:
+    """Predictions as rows of annotations: what is right, what sure, and which set they are in are fixed functions of the span."""
+    p = _predicted(spark, folder)
+    return p.withColumns({"annotation_id": F.floor(F.col("start_offset") / 40), "is_correct": F.col("start_offset") % 3 == 0, "threshold": 0.1 * F.col("label"), "set_id": F.floor(F.col("start_offset") / 200)})
+
+
+def _compared(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluate.compare_strict(_gold(spark, folder), _predicted(spark, folder), ["doc_id", "start_offset", "end_offset"])
+
+
+def status_views(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents per view; their number of pages stands for the state."""
+    docs = _read(spark, folder, "documents").select("doc_id", (F.col("n_pages") - 1).alias("dataset_status"))
+    parts = [views.documents_in(docs, v).agg(F.count(F.lit(1)).alias("n")).select(F.lit(v).alias("view"), "n") for v in (*views.STATUS, "virtual")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def annotation_view(spark: SparkSession, folder: str) -> DataFrame:
+    """Annotations that are right or sure enough and reach into a stretch of each document."""
+    a = views.annotations(_annotated(spark, folder), use_correct=False, ignore_below_threshold=True, start=100, end=900)
+    return a.groupBy("doc_id").agg(F.count(F.lit(1)).alias("annotations"), F.sum("parts").alias("parts"), F.sum("start_offset").alias("sum_start"), F.sum(F.col("place") * F.col("end_offset")).alias("places"))
+
+
+def distinct_span_view(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of either side once, with the label of the right one where both have it."""
+    both = _gold(spark, folder).withColumn("annotation_id", F.lit(0)).unionByName(_predicted(spark, folder).drop("confidence").withColumn("annotation_id", F.lit(1)))
+    return views.distinct_spans(both).groupBy("label", F.col("annotation_id").cast("long").alias("side")).agg(F.count(F.lit(1)).alias("n"), F.sum("start_offset").alias("sum_start"))
+
+
+def annotation_set_view(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder)
+    lines = spans.lines(docs, "doc_id", "text").select("doc_id", "line_index", "start_offset", "end_offset")
+    sets = views.annotation_sets(_annotated(spark, folder), lines)
+    return sets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sets"), F.sum("start_offset").alias("sum_start"), F.sum("end_offset").alias("sum_end"), F.sum("annotations").alias("annotations"), F.sum("first_line").alias("lines"))
+
+
+def filled_text(spark: SparkSession, folder: str) -> DataFrame:
+    """What no prediction covers, line by line."""
+    docs = _documents(spark, folder).select("doc_id", "text")
+    f = views.filled(_predicted(spark, folder), docs).filter("label = 'NO_LABEL'")
+    return f.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("start_offset").alias("sum_start"), F.sum("end_offset").alias("sum_end"))
+
+
+def page_set_view(spark: SparkSession, folder: str) -> DataFrame:
+    pages = spans.pages(_documents(spark, folder), "doc_id", "text").select("doc_id", "page_index", "start_offset", "end_offset")
+    return views.page_sets(_annotated(spark, folder), pages).groupBy("doc_id", F.col("page_index").cast("long").alias("page_index")).agg(F.count(F.lit(1)).alias("sets"))
+
+
+def invalid_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans moved by their length, judged against the text and its lines."""
+    docs = _documents(spark, folder).filter("text is not null")
+    moved = _gold(spark, folder).select("doc_id", F.col("start_offset"), (F.col("end_offset") + F.when(F.col("label") == 0, -20).otherwise(F.col("label") * 3)).alias("end_offset"))
+    lines = spans.lines(docs, "doc_id", "text").select("doc_id", "start_offset", "end_offset")
+    judged = views.span_violations(moved, docs.select("doc_id", F.length("text").alias("length")), lines)
+    return judged.groupBy(F.coalesce("violation", F.lit("none")).alias("violation")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def document_evaluation(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluate.per_slice(evaluate.with_flags(_compared(spark, folder), 0.3), "doc_id")
+
+
+def stage_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Outcomes of the whole, of the tokenizer and of the classifier."""
+    return evaluate.with_stage_flags(evaluate.with_flags(_compared(spark, folder), 0.3)).agg(*evaluate.all_counts())
+
+
+def label_slice(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of one label, right or predicted, and their outcomes."""
+    rows = evaluate.query_rows(evaluate.with_flags(_compared(spark, folder), 0.3), "label", 3)
+    return rows.agg(F.count(F.lit(1)).alias("rows"), *evaluate.counts())
+
+
+def label_frequency(spark: SparkSession, folder: str) -> DataFrame:
+    rows = evaluate.with_frequency(_compared(spark, folder))
+    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.max("frequency").alias("frequency"))
+
+
+def disambiguated_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of right spans that occur more than once in a document, told apart."""
+    ids = evaluate.disambiguated_ids(_gold(spark, folder).withColumn("id", F.floor(F.col("start_offset") / 30) * 10 + F.col("label")), "doc_id", "id", ["start_offset", "end_offset"])
+    return ids.groupBy("doc_id").agg(F.countDistinct("disambiguated_id").alias("ids"), F.sum(F.col("disambiguated_id").contains("_").cast("long")).alias("told_apart"))
+
+
+def relation_counts(spark: SparkSession, folder: str) -> DataFrame:
+    r = evaluate.relations(evaluate.with_flags(_compared(spark, folder), 0.3), "label", "label_predicted")
+    return r.groupBy("label", "label_predicted", "relation").agg(F.count(F.lit(1)).alias("n"))
+
+
+def template_merge(spark: SparkSession, folder: str) -> DataFrame:
+    """Right spans put together as a copy has them, which knows a set of spans for every forty characters."""
+    template = _predicted(spark, folder).select("doc_id", "start_offset", "end_offset", F.floor(F.col("start_offset") / 40).alias("annotation_id"))
+    like = merge.merge_like(_gold(spark, folder), template, "doc_id")
+    return like.groupBy("label").agg(F.count(F.lit(1)).alias("spans"), F.count("annotation_id").alias("merged"))
+
+
+def multiline_labels(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _annotated(spark, folder).withColumn("annotation_id", F.floor(F.col("start_offset") / 7))
+    return merge.multiline_labels(rows, "doc_id")
+
+
+def group_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Amounts with their parts before and after the separator as groups."""
+    found = label_patterns.find_matches(_documents(spark, folder), "doc_id", "text", r"(?P<whole>\d+)[.,](\d\d)")
+    return found.groupBy("regex_group").agg(F.count(F.lit(1)).alias("n"), F.sum("start_offset").alias("sum_start"), F.sum("end_offset").alias("sum_end"))
+
+
+def candidate_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts cut into numbers and what lies between."""
+    pieces = label_patterns.candidates(_documents(spark, folder), "doc_id", "text", r"[0-9]+")
+    return pieces.groupBy("doc_id").agg(F.sum(F.col("is_candidate").cast("long")).alias("candidates"), F.sum(F.when(~F.col("is_candidate"), F.length("value")).otherwise(0)).cast("long").alias("other_chars"), F.count(F.lit(1)).alias("pieces"))
+
+
+def learned_patterns(spark: SparkSession, folder: str) -> DataFrame:
+    """Patterns of legal forms, proposed by their spans and chosen for what each adds."""
+    docs = _documents(spark, folder)
+    gold = spans.regex_spans(docs, "doc_id", "text", r"GmbH|KG|Inc\.|S\.L\.|SARL").withColumn("label", F.lit("form"))
+    return label_patterns.learn_patterns(docs, gold, context=False)
+
+
+def numbered_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts as numbers of the vocabulary's tokens, summed."""
+    t = spans.tokenize(_documents(spark, folder), "doc_id", "text", "whitespace").select("doc_id", "start_offset", F.lower("offset_string").alias("token"))
+    n = spans.numericalize(t, "doc_id", "start_offset", "token", vocabulary(spark, folder))
+    return n.select("doc_id", F.size("indices").cast("long").alias("tokens"), F.aggregate("indices", F.lit(0).cast("long"), lambda acc, x: acc + x).alias("sum_idx"))
+
+
+def line_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines cut at sentence marks, and the sentences that run on over lines."""
+    lines = spans.lines(_documents(spark, folder), "doc_id", "text").withColumnRenamed("line_text", "offset_string")
+    s = spans.sentences_of_spans(lines, "doc_id")
+    return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), (F.max("sentence") + 1).alias("sentences"), F.sum("end_offset").alias("sum_end"))
+
+
+def number_readings(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens that a programming language reads as numbers, and the parts of dates."""
+    t = spans.tokenize(_documents(spark, folder), "doc_id", "text", "whitespace").groupBy("offset_string").agg(F.count(F.lit(1)).alias("n"))
+    read = t.withColumn("v", normalize.to_python_float(F.col("offset_string")))
+    return read.filter("v <> 0").groupBy(F.length("offset_string").cast("long").alias("chars")).agg(F.sum("n").alias("n"), F.round(F.sum(F.when(F.abs("v") < 1e9, F.col("v") * F.col("n"))), 2).alias("total"))
+
+
+def date_readings(spark: SparkSession, folder: str) -> DataFrame:
+    t = spans.regex_spans(_documents(spark, folder), "doc_id", "text", r"\b[0-3][0-9]\.[01][0-9]\.20[0-9][0-9]\b").groupBy("offset_string").agg(F.count(F.lit(1)).alias("n"))
+    year, month, day = normalize.date_parts(F.col("offset_string"))
+    read = t.withColumns({"days": normalize.days_since_2010(F.col("offset_string")), "y": year, "m": month, "d": day}).filter("y > 0 and days <> 0")
+    return read.groupBy(F.col("y").cast("long").alias("year")).agg(F.sum("n").alias("n"), F.sum(F.col("days") * F.col("n")).alias("days"), F.sum(F.col("m") * F.col("n")).alias("months"), F.sum(F.col("d") * F.col("n")).alias("month_days"))
+
+
+def relative_line_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Digits of the two lines before and after each line, summed per document."""
+    lines = spans.lines(_documents(spark, folder), "doc_id", "text").select("doc_id", "line_index", strings.digit_count(F.col("line_text")).alias("digits"))
+    r = features.relative_lines(lines, "doc_id", ["digits"], 2)
+    return r.groupBy("doc_id").agg(*[F.sum(F.col(f"{s}_line_{i}_digits") * F.col("digits")).alias(f"{s}{i}") for s in ("prev", "next") for i in (1, 2)])
+
+
+def page_line_spans(spark: SparkSession, folder: str) -> DataFrame:
+    boxes = _boxes(spark, folder).select("request_id", "page_number", "line_index", F.col("bbox_key").alias("char_index"), "text")
+    out = views.page_lines(boxes, ["request_id", "page_number"])
+    return out.groupBy("request_id").agg(F.count(F.lit(1)).alias("lines"), F.sum("start_offset").alias("sum_start"), F.sum("end_offset").alias("sum_end"))
+
+
+def previous_page_texts(spark: SparkSession, folder: str) -> DataFrame:
+    p = views.previous_pages(_requests_as_pages(spark, folder), "request_id")
+    return p.select("request_id", F.col("page_index").cast("long").alias("page_index"), "is_blank", F.coalesce(F.length("previous_text"), F.lit(-1)).cast("long").alias("previous_chars"))
+
+
+def extraction_evaluation(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole pipeline: fitted to documents of all languages but English (a sample of 30,000 of their tokens), judged on the English ones."""
+    docs = _documents(spark, folder).filter("text <> ''")
+    amounts = spans.regex_spans(docs, "doc_id", "text", r"\d{1,3}(?:[.,]\d{3})*[.,]\d{2}(?![\d.,])").withColumn("label", F.lit("amount"))
+    dates = spans.regex_spans(docs, "doc_id", "text", r"\b\d\d?[./]\d\d?[./]\d{4}\b").withColumn("label", F.lit("date"))
+    gold = amounts.unionByName(dates).select("doc_id", "start_offset", "end_offset", "label")
+    tokens = spans.tokenize(docs, "doc_id", "text", "whitespace")
+    test, train = docs.filter("lang = 'en'"), docs.filter("lang <> 'en' or lang is null")
+    frame = extraction.training_frame(tokens.join(train.select("doc_id"), on="doc_id", how="left_semi"), train, gold)
+    model = extraction.fit(frame.orderBy(F.xxhash64("doc_id", "start_offset")).limit(30_000), trees=10, depth=8)
+    found = extraction.extract(model, tokens.join(test.select("doc_id"), on="doc_id", how="left_semi"), test)
+    return extraction.evaluate_full(gold.join(test.select("doc_id"), on="doc_id", how="left_semi"), found)
+
+
 def queries() -> dict:
     named = [
         p6_found, tokenizer_comparison, list_tokenizer_spans, page_table, line_table, span_lines, horizontal_merge, uncovered_text, token_neighbours, gold_of_tokens, vocabulary, string_features, suggested_patterns,
         normalized_numbers, normalized_dates, evaluation_by_label, threshold_sweep, best_thresholds, confusion_matrix, overlapping_errors, overlapping_comparison, missing_spans, label_votes, prioritized_rows, name_categories,
         category_evaluation, category_weighted_measures, best_page_categories, document_categories, category_consensus, split_groups, split_documents, first_page_lines, split_evaluation, line_heights, line_boxes,
         line_distance_paragraphs, line_distance_sentences, box_checks, pattern_evaluation, pattern_cover, rare_patterns, document_changes, response_payloads, bio_tags, view_annotations, numeric_merge, vertical_merge, label_classifier,
+        status_views, annotation_view, distinct_span_view, annotation_set_view, filled_text, page_set_view, invalid_spans, document_evaluation, stage_counts, label_slice, label_frequency, disambiguated_labels, relation_counts,
+        template_merge, multiline_labels, group_matches, candidate_pieces, learned_patterns, numbered_texts, line_sentences, number_readings, date_readings, relative_line_features, page_line_spans, previous_page_texts, extraction_evaluation,
     ]
     return {f.__name__: f for f in named} | {f"{t}_spans": _span_sums(t) for t in spans.PATTERNS}
