@@ -236,7 +236,7 @@ def _view_sql() -> dict[str, str]:
             SELECT doc_id, count(*) AS pieces, CAST(max(s) + 1 AS BIGINT) AS sentences, CAST(sum(e) AS BIGINT) AS sum_end FROM r GROUP BY doc_id""",
         "numbered_texts": f"""WITH t AS (SELECT doc_id, lower(tok) AS token FROM ({_T2})), c AS (SELECT token, count(*) AS freq FROM t GROUP BY 1 HAVING count(*) >= 5), v AS (SELECT token, 1 + row_number() OVER (ORDER BY freq DESC, token) AS idx FROM c)
             SELECT doc_id, count(*) AS tokens, CAST(sum(coalesce(idx, 0)) AS BIGINT) AS sum_idx FROM t LEFT JOIN v USING (token) GROUP BY doc_id""",
-        "number_readings": f"""WITH t AS (SELECT tok, CAST(replace(tok, '_', '') AS DOUBLE) AS v FROM ({_T2}) WHERE regexp_full_match(lower(tok), '[+-]?(?:[0-9](?:_?[0-9])*\.?(?:[0-9](?:_?[0-9])*)?|\.[0-9](?:_?[0-9])*)(?:e[+-]?[0-9](?:_?[0-9])*)?'))
+        "number_readings": rf"""WITH t AS (SELECT tok, CAST(replace(tok, '_', '') AS DOUBLE) AS v FROM ({_T2}) WHERE regexp_full_match(lower(tok), '[+-]?(?:[0-9](?:_?[0-9])*\.?(?:[0-9](?:_?[0-9])*)?|\.[0-9](?:_?[0-9])*)(?:e[+-]?[0-9](?:_?[0-9])*)?'))
             SELECT length(tok) AS chars, count(*) AS n, round(sum(CASE WHEN abs(v) < 1e9 THEN v END), 2) AS total FROM t WHERE v <> 0 AND v < 3.4028235e38 GROUP BY 1""",
         "date_readings": """WITH d AS (SELECT try_strptime(x, '%d.%m.%Y')::DATE AS d FROM (SELECT unnest(regexp_extract_all(text, '\\b[0-3][0-9]\\.[01][0-9]\\.20[0-9][0-9]\\b')) AS x FROM documents)),
             r AS (SELECT d, CASE WHEN d = DATE '2010-01-01' THEN 1 ELSE d - DATE '2010-01-01' END AS days FROM d WHERE d IS NOT NULL)
@@ -244,9 +244,9 @@ def _view_sql() -> dict[str, str]:
         "relative_line_features": f"""WITH {_LINES}, d AS (SELECT doc_id, line_index, len(regexp_extract_all(line_text, '\\p{{Nd}}')) AS n FROM lines),
             w AS (SELECT doc_id, n, coalesce(lag(n) OVER o, 0) AS p1, coalesce(lag(n, 2) OVER o, 0) AS p2, coalesce(lead(n) OVER o, 0) AS n1, coalesce(lead(n, 2) OVER o, 0) AS n2 FROM d WINDOW o AS (PARTITION BY doc_id ORDER BY line_index))
             SELECT doc_id, CAST(sum(p1 * n) AS BIGINT) AS prev1, CAST(sum(p2 * n) AS BIGINT) AS prev2, CAST(sum(n1 * n) AS BIGINT) AS next1, CAST(sum(n2 * n) AS BIGINT) AS next2 FROM w GROUP BY doc_id""",
-        "page_line_spans": f"""WITH {_BOXES}, l AS (SELECT request_id, page_number, line_index, min(bbox_key) AS s, max(bbox_key) + 1 AS e FROM boxes WHERE NOT regexp_full_match(text, '\s*') GROUP BY ALL)
+        "page_line_spans": rf"""WITH {_BOXES}, l AS (SELECT request_id, page_number, line_index, min(bbox_key) AS s, max(bbox_key) + 1 AS e FROM boxes WHERE NOT regexp_full_match(text, '\s*') GROUP BY ALL)
             SELECT request_id, count(*) AS lines, CAST(sum(s) AS BIGINT) AS sum_start, CAST(sum(e) AS BIGINT) AS sum_end FROM l GROUP BY request_id""",
-        "previous_page_texts": f"""WITH {_REQUEST_PAGES}, b AS (SELECT request_id, CAST(page_index AS BIGINT) AS page_index, page_text, regexp_full_match(page_text, '\s*') AS is_blank FROM rp)
+        "previous_page_texts": rf"""WITH {_REQUEST_PAGES}, b AS (SELECT request_id, CAST(page_index AS BIGINT) AS page_index, page_text, regexp_full_match(page_text, '\s*') AS is_blank FROM rp)
             SELECT request_id, page_index, is_blank, CAST(coalesce(length(last_value(CASE WHEN NOT is_blank THEN page_text END IGNORE NULLS) OVER (PARTITION BY request_id ORDER BY page_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), -1) AS BIGINT) AS previous_chars FROM b""",
     }
 

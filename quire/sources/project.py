@@ -6,11 +6,14 @@ import io
 import json
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quire.operators import spans
+
 _BOX = "x0 double, x1 double, y0 double, y1 double"
 ANNOTATION = (
     "id long, label string, label_text string, section long, annotation_set long, label_set string, section_label_id long, accuracy double, confidence double, is_correct boolean, revised boolean, "
@@ -38,6 +41,69 @@ def read_label_sets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return raw.select(F.col("id").alias("label_set_id"), "name", "is_default", F.col("has_multiple_sections").alias("multiple")), raw.select(F.col("id").alias("label_set_id"), F.explode("labels").alias("label_id"))
 
 
+def read_categories(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Categories, which are the default label sets, with the one for none (id 0); and the bridge from them to their label sets."""
+    raw = spark.read.schema("id long, name string, is_default boolean, default_section_labels array<long>").json(path, multiLine=True)
+    none = spark.createDataFrame([(0, "NO_CATEGORY")], "category_id long, name string")
+    own = raw.filter("is_default").select(F.col("id").alias("category_id"), "name")
+    linked = raw.filter("not is_default").select(F.explode("default_section_labels").alias("category_id"), F.col("id").alias("label_set_id"))
+    return none.unionByName(own), own.select("category_id", F.col("category_id").alias("label_set_id")).unionByName(linked.join(own.select("category_id"), on="category_id")).distinct()
+
+
+def read_page_sizes(spark: SparkSession, pattern: str) -> DataFrame:
+    """``doc_id``, ``page_id``, ``page_index`` (place in the file, from 0), ``number``, ``width``, ``height`` of each page of the page files."""
+    shape = "array<struct<id:long,number:int,original_size:array<double>,size:array<int>>>"
+    raw = spark.read.text(pattern, wholetext=True).withColumn("path", F.input_file_name())
+    pages = raw.select(F.regexp_extract("path", r"/(\d+)/[^/]+$", 1).cast("long").alias("doc_id"), F.posexplode(F.from_json("value", shape)).alias("page_index", "p"))
+    return pages.select("doc_id", F.col("p.id").alias("page_id"), "page_index", F.col("p.number").alias("number"), F.get("p.original_size", F.lit(0)).alias("width"), F.get("p.original_size", F.lit(1)).alias("height"))
+
+
+def pages_with_sizes(pages: DataFrame, sizes: DataFrame, key: str = "doc_id", check: bool = True) -> DataFrame:
+    """The pages of the texts with what the page files say of them, in order. With ``check`` a document whose counts differ raises when it is met."""
+    counts = pages.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).join(sizes.groupBy(key).agg(F.count(F.lit(1)).alias("_m")), on=key, how="left")
+    joined = pages.join(sizes, on=[key, "page_index"], how="left").join(counts, on=key)
+    if check:
+        joined = joined.filter(F.when(F.coalesce("_m", F.lit(0)) != F.col("_n"), F.raise_error(F.concat(F.lit("pages and page file differ in document "), F.col(key).cast("string"))).cast("boolean")).otherwise(True))
+    return joined.drop("_n", "_m")
+
+
+def read_annotation_sets(spark: SparkSession, pattern: str) -> DataFrame:
+    """``doc_id``, ``set_id``, ``label_set_id`` of the sets of the set files, of either generation; sets that list labels of which none has annotations are left out."""
+    shape = "array<struct<id:long,section_label:long,label_set:struct<id:long>,labels:array<struct<annotations:array<string>>>>>"
+    raw = spark.read.text(pattern, wholetext=True).withColumn("path", F.input_file_name())
+    sets = raw.select(F.regexp_extract("path", r"/(\d+)/[^/]+$", 1).cast("long").alias("doc_id"), F.explode(F.from_json("value", shape)).alias("s"))
+    empty = F.col("s.labels").isNotNull() & F.forall("s.labels", lambda x: F.coalesce(F.size(x["annotations"]), F.lit(0)) <= 0)
+    return sets.filter(~empty).select("doc_id", F.col("s.id").alias("set_id"), F.coalesce("s.label_set.id", "s.section_label").alias("label_set_id"))
+
+
+@dataclass
+class Project:
+    """The tables of an annotation project."""
+
+    labels: DataFrame
+    label_sets: DataFrame
+    set_labels: DataFrame
+    categories: DataFrame
+    category_sets: DataFrame
+    documents: DataFrame
+    texts: DataFrame
+    annotations: DataFrame
+    annotation_sets: DataFrame
+    pages: DataFrame
+
+
+def read_project(spark: SparkSession, folder: str) -> Project:
+    """All files of a project folder: labels, label sets, categories, documents, and what each document's folder holds. Everything is read when it is needed."""
+    sets, bridge = read_label_sets(spark, f"{folder}/label_sets.json5")
+    categories, category_sets = read_categories(spark, f"{folder}/label_sets.json5")
+    texts = read_texts(spark, f"{folder}/documents/*/document.txt")
+    pages = pages_with_sizes(spans.pages(texts, "doc_id", "text"), read_page_sizes(spark, f"{folder}/documents/*/pages.json5"), check=False)
+    return Project(
+        read_labels(spark, f"{folder}/labels.json5"), sets, bridge, categories, category_sets, read_metadata(spark, f"{folder}/documents_meta.json5"), texts,
+        read_annotations(spark, f"{folder}/documents/*/annotations.json5"), read_annotation_sets(spark, f"{folder}/documents/*/annotation_sets.json5"), pages,
+    )
+
+
 def read_texts(spark: SparkSession, pattern: str) -> DataFrame:
     """``doc_id`` (the folder's name) and ``text`` of each ``document.txt``."""
     raw = spark.read.text(pattern, wholetext=True).withColumn("path", F.input_file_name())
@@ -86,20 +152,37 @@ def changes(known: DataFrame, arrived: DataFrame, key: str, stamp: str) -> DataF
     return a.join(b, F.col("_a") == F.col("_b"), "full_outer").select(F.coalesce("_a", "_b").alias(key), change.alias("change"))
 
 
+def apply_changes(known: DataFrame, arrived: DataFrame, key: str, stamp: str, delete: bool = True) -> DataFrame:
+    """``known`` brought up to date: new and updated keys have their latest row of ``arrived``, unchanged ones the row they had, deleted ones go (or stay, without ``delete``).
+
+    Both tables have the same columns. Repeated keys count once, by their latest stamp.
+    """
+    others = [c for c in known.columns if c != key]
+
+    def latest(df: DataFrame) -> DataFrame:
+        return df.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(F.coalesce(F.col(stamp).cast("string"), F.lit("")), F.struct(*others).cast("string"))).alias("r")).select(key, "r.*")
+
+    kinds = changes(known, arrived, key, stamp)
+    fresh = latest(arrived).join(kinds.filter("change in ('new', 'updated')").select(key), on=key, how="left_semi")
+    kept = latest(known).join(kinds.filter("change = 'unchanged'" + ("" if delete else " or change = 'deleted'")).select(key), on=key, how="left_semi")
+    return fresh.select(*known.columns).unionByName(kept.select(*known.columns))
+
+
 def write_project(documents: DataFrame, annotations: DataFrame, path: str) -> None:
     """Documents and annotations as JSON lines under ``path``, parted by data set status."""
     documents.write.mode("overwrite").partitionBy("dataset_status").json(f"{path}/documents")
     annotations.write.mode("overwrite").json(f"{path}/annotations")
 
 
-def write_bio(tags: DataFrame, texts: DataFrame, key: str, path: str) -> None:
-    """``word tag`` lines, one folder per document."""
-    words = tags.join(texts.select(key, "text"), on=key).select(key, F.concat_ws(" ", F.expr("substring(text, CAST(start_offset AS INT) + 1, CAST(end_offset - start_offset AS INT))"), "tag").alias("value"))
-    words.write.mode("overwrite").partitionBy(key).text(path)
+def write_bio(tags: DataFrame, texts: DataFrame, key: str, path: str, files: int | None = None) -> None:
+    """``document<TAB>word tag`` lines, the words of a document in order and together in one file of ``files`` (by default as many as there are shuffle partitions)."""
+    words = tags.join(texts.select(key, "text"), on=key).select(key, "start_offset", F.concat(F.col(key).cast("string"), F.lit("\t"), F.expr("substring(text, CAST(start_offset AS INT) + 1, CAST(end_offset - start_offset AS INT))"), F.lit(" "), F.col("tag")).alias("value"))
+    parts = words.repartition(files, key) if files else words.repartition(key)
+    parts.sortWithinPartitions(key, "start_offset").select("value").write.mode("overwrite").text(path)
 
 
 def local_project(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """A small project in memory: documents, and annotations over them."""
-    docs = [(1, "Hi all, I like pizza.\nTotal 12,50 EUR\fSecond page", 63, 2), (2, "Hi all, I like fish.\nTotal 8,00 EUR", 63, 3), (3, "", 735, 2), (4, None, None, 0)]
-    ann = [(1, "food", 15, 20, True, 1.0), (1, "amount", 28, 33, True, 0.9), (2, "food", 15, 19, True, 0.4), (2, "amount", 27, 31, False, 0.05)]
+    docs = [(1, "All of us like opera.\nTotal 12,50 EUR\fThe second page", 63, 2), (2, "All of us like jazz.\nTotal 8,00 EUR", 63, 3), (3, "", 735, 2), (4, None, None, 0)]
+    ann = [(1, "item", 15, 20, True, 1.0), (1, "amount", 28, 33, True, 0.9), (2, "item", 15, 19, True, 0.4), (2, "amount", 27, 31, False, 0.05)]
     return spark.createDataFrame(docs, "doc_id long, text string, category_id long, dataset_status int"), spark.createDataFrame(ann, "doc_id long, label string, start_offset long, end_offset long, is_correct boolean, confidence double")
