@@ -30,20 +30,43 @@ def by_name(pages: DataFrame, categories: DataFrame, key: str) -> DataFrame:
     return hit.withColumn("category_id", F.coalesce("own", first)).drop("own")
 
 
-def best_per_page(rows: DataFrame, page: list[str], category: str = "category_id", confidence: str = "confidence") -> DataFrame:
-    """The category of highest confidence of each page; the lowest id of equals. Null and NaN confidences do not count."""
-    good = rows.filter(F.col(confidence).isNotNull() & ~F.isnan(confidence))
-    best = F.max_by(F.struct(category, confidence), F.struct(F.col(confidence), -F.col(category)))
-    return good.groupBy(*page).agg(best.alias("b")).select(*page, F.col(f"b.{category}").alias(category), F.col(f"b.{confidence}").alias(confidence))
+def best_per_page(rows: DataFrame, page: list[str], category: str = "category_id", confidence: str = "confidence", human: str | None = None) -> DataFrame:
+    """The category of highest confidence of each page; the lowest id of equals. Null and NaN confidences do not count.
 
+    With ``human``, a boolean column, a category that a person has chosen comes first, whatever its confidence.
+    """
+    good = F.col(confidence).isNotNull() & ~F.isnan(confidence)
+    chosen = F.coalesce(F.col(human), F.lit(False)) if human else F.lit(False)
+    value = F.when(good, F.col(confidence))
+    best = F.max_by(F.struct(category, value.alias(confidence)), F.struct(chosen, F.coalesce(value, F.lit(float("-inf"))), -F.col(category)))
+    return rows.filter(good | chosen).groupBy(*page).agg(best.alias("b")).select(*page, F.col(f"b.{category}").alias(category), F.col(f"b.{confidence}").alias(confidence))
+
+
+def document_confidence(rows: DataFrame, document: str, page: str, category: str = "category_id", confidence: str = "confidence", stored: DataFrame | None = None) -> DataFrame:
+    """Mean confidence of each category over the document's pages; a page without the category counts as 0.
 
-def document_confidence(rows: DataFrame, document: str, page: str, category: str = "category_id", confidence: str = "confidence") -> DataFrame:
-    """Mean confidence of each category over the document's pages; a page without the category counts as 0."""
+    With ``stored`` (``document``, ``category``, ``confidence`` on record) a category that no page speaks for has the confidence on record.
+    """
     good = rows.groupBy(document, page, category).agg(F.max(F.when(~F.isnan(confidence), F.col(confidence))).alias("c"))
     pages = good.groupBy(document).agg(F.countDistinct(page).alias("pages"))
     # Decimals add up to the same sum in any order.
     sums = good.groupBy(document, category).agg(F.sum(F.coalesce("c", F.lit(0.0)).cast("decimal(18,9)")).alias("s"))
-    return sums.join(pages, on=document).select(document, category, (F.col("s").cast("double") / F.col("pages")).alias("confidence"))
+    out = sums.join(pages, on=document).select(document, category, (F.col("s").cast("double") / F.col("pages")).alias("confidence"))
+    if stored is None:
+        return out
+    kept = stored.select(document, category, F.col(confidence).alias("_stored"))
+    mean = F.coalesce(F.col("confidence"), F.lit(0.0))
+    return out.join(kept, on=[document, category], how="full_outer").select(document, category, F.when(mean == 0, F.coalesce("_stored", F.lit(0.0))).otherwise(mean).alias("confidence"))
+
+
+def mean_probabilities(pages: DataFrame, document: str, probabilities: str = "probabilities") -> DataFrame:
+    """``document``, ``category`` (the class of highest mean, the first of equals) and ``confidence``: class probabilities of pages (arrays of one length) averaged over a document's
+    pages. Pages whose probabilities are null or all NaN do not count; a document without any other has a null category."""
+    told = pages.withColumn("_ok", F.coalesce(F.exists(probabilities, lambda x: ~F.isnan(x)), F.lit(False)))
+    means = told.filter("_ok").select(document, F.posexplode(probabilities).alias("category", "p")).groupBy(document, "category").agg(F.avg(F.when(~F.isnan("p"), F.col("p"))).alias("p"))
+    best = means.groupBy(document).agg(F.max_by(F.struct("category", "p"), F.struct("p", -F.col("category"))).alias("b")).select(F.col(document).alias("_d"), F.col("b.category").alias("category"), F.col("b.p").alias("confidence"))
+    every = pages.select(document).distinct()
+    return every.join(best, every[document] == best["_d"], "left").drop("_d")
 
 
 def consensus(best: DataFrame, document: str, page: str, category: str = "category_id") -> DataFrame:

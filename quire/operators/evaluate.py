@@ -202,6 +202,33 @@ def weighted_vote(rows: DataFrame, group: str, value: str, weight: str | None =
     return best.groupBy(group).agg(F.min(value).alias(value))
 
 
+def grouped_vote(rows: DataFrame, group: str, target: str, above: str = "above_threshold", matched: str = "is_matched", confidence: str = "confidence_predicted") -> DataFrame:
+    """``rows`` with ``{target}_vote``, the value of ``target`` their group agrees on, and ``is_correct_{target}``, whether the row has it. A null group is a group.
+
+    Rows that are matched and above their threshold are eligible. Without any, the group votes by confidence, or, if no confidence or no target speaks, by the number of rows,
+    rows without a target too. With eligible ones only these vote, by confidence if any of them has one, else by number; if none of them has a target the vote is null. 0 and null
+    do not speak. The smallest of equal values wins, null last. Votes are summed per value before anything is compared.
+    """
+    elig, conf, value = true_if(F.col(above)) & true_if(F.col(matched)), F.coalesce(F.col(confidence), F.lit(0.0)), F.col(target)
+    kind = rows.schema[target].dataType.typeName()
+    truthy = value.isNotNull() & (value != F.lit("" if kind == "string" else 0)) if kind != "boolean" else F.coalesce(value, F.lit(False))
+    per = rows.groupBy(F.col(group).alias("_g"), value.alias("_v")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(conf).alias("w"), F.sum(elig.cast("long")).alias("ne"), F.sum(F.when(elig, conf).otherwise(0.0)).alias("we"),
+        F.max(conf != 0).alias("c"), F.max(elig & (conf != 0)).alias("ce"), F.max(truthy).alias("t"), F.max(elig & truthy).alias("te"),
+    )
+    of = per.groupBy(F.col("_g").alias("_h")).agg(F.max(F.col("ne") > 0).alias("any"), F.max("c").alias("ac"), F.max("ce").alias("ace"), F.max("t").alias("at"), F.max("te").alias("ate"))
+    joined = per.join(of, per["_g"].eqNullSafe(of["_h"]))
+    by_number = F.when(F.col("any"), F.col("ne")).otherwise(F.col("n")).cast("double")
+    by_weight = F.when(F.col("any"), F.col("we")).otherwise(F.col("w"))
+    plain = F.when(F.col("any"), ~F.col("ace")).otherwise(~F.col("ac") | ~F.col("at"))
+    weight = F.round(F.when(plain, by_number).otherwise(by_weight), 9)
+    counts_too = F.col("_v").isNotNull() | (~F.col("any") & plain)
+    scored = joined.filter(counts_too & (~F.col("any") | ((F.col("ne") > 0) & F.col("ate"))))
+    best = scored.groupBy("_g").agg(F.min_by("_v", F.struct(-weight, F.col("_v").isNull(), F.col("_v"))).alias(f"{target}_vote"))
+    out = rows.join(best, rows[group].eqNullSafe(best["_g"]), "left").drop("_g")
+    return out.withColumn(f"is_correct_{target}", true_if(F.col(target) == F.col(f"{target}_vote")))
+
+
 def prioritize(rows: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per group: the first true positive, else the first false positive, else the first miss. Rows with a null key are left out."""
     rank = F.when(F.col("true_positive"), 0).when(F.col("false_positive"), 1).when(F.col("false_negative"), 2).otherwise(3)
@@ -216,6 +243,15 @@ def confusion(actual: DataFrame, classes: Sequence | None = None, a: str = "actu
     return out.filter(F.col("actual").isin(list(classes)) & F.col("predicted").isin(list(classes))) if classes is not None else out
 
 
+def confusion_table(actual: DataFrame, classes: Sequence, a: str = "actual", p: str = "predicted", missing=-1) -> DataFrame:
+    """The square table of counts over ``classes``: a row per actual class, a column per predicted one, 0 where there is none. A prediction that is null counts as
+    ``missing``, which like all others outside ``classes`` has no column."""
+    rows = actual.select(F.col(a).alias("actual"), F.coalesce(F.col(p), F.lit(missing)).alias("predicted"))
+    every = actual.sparkSession.createDataFrame([(c,) for c in classes], rows.select("actual").schema)
+    table = rows.groupBy(F.col("actual").alias("_a")).pivot("predicted", list(classes)).count()
+    return every.join(table, every["actual"] == table["_a"], "left").drop("_a").fillna(0)
+
+
 def per_class(actual: DataFrame, a: str = "actual", p: str = "predicted") -> DataFrame:
     """tp, fp, fn, tn of each class against the rest, and measures; one pass over the rows, the rest on the small table of counts."""
     cells = actual.groupBy(F.col(a).alias("a"), F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("n"))

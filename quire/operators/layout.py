@@ -44,3 +44,13 @@ def select_boxes(boxes: DataFrame, selections: DataFrame, page: list[str], toler
     inner = F.struct("x0", "x1", "y0", "y1")
     hit = boxes.withColumn("_inner", inner).join(s, [boxes[c] == s[f"_{c}"] for c in page])
     return hit.filter(geometry.contains(F.col("_outer"), F.col("_inner"), tolerance)).drop("_inner", "_outer", *[f"_{c}" for c in page])
+
+
+def selected_spans(chars: DataFrame, selections: DataFrame, page: list[str], line: str = "line_index", tolerance: float = 10.0) -> DataFrame:
+    """What a selection on a page holds, line by line: ``selection_id``, ``page``, ``line``, ``start_offset``, ``end_offset``, the box that holds the line's characters, and their ``text``.
+
+    ``chars`` has ``page``, ``line``, ``char_index``, ``text`` and the box. Selections meet the characters of their page; a page has a bounded number of them.
+    """
+    inside = select_boxes(chars, selections, page, tolerance)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("char_index", "text"))), lambda x: x["text"]), "").alias("text")  # the characters of one line
+    return inside.groupBy("selection_id", *page, line).agg(F.min("char_index").alias("start_offset"), (F.max("char_index") + 1).alias("end_offset"), *geometry.union_aggregates(), text)

@@ -166,19 +166,23 @@ def locate(spans: DataFrame, key: str, table: DataFrame, index: str) -> DataFram
     return own.join(t, (own[key] == t["_k"]) & (own["_sb"] == t["_tb"]) & (own["start_offset"] >= t["_a"]) & (own["start_offset"] <= t["_b"])).drop("_k", "_a", "_b", "_tb", "_sb")
 
 
-def merge_horizontal(spans: DataFrame, text: DataFrame, key: str, group: Sequence[str], max_gap: int = 5) -> DataFrame:
+def merge_horizontal(spans: DataFrame, text: DataFrame, key: str, group: Sequence[str], max_gap: int = 5, threshold: float | None = None) -> DataFrame:
     """Neighbouring spans of one group (document, label, ...) joined where only blanks, at most ``max_gap``, lie between.
 
     Gaps and islands: a span starts an island if what precedes it is not joinable. Result: the group, ``start_offset``, ``end_offset``,
     ``parts`` and the mean ``confidence`` if there is one. ``text`` has ``key`` and ``text``. Spans begin and end in other characters than
     blanks, so a gap of blanks is a whole run of them: the runs are found map-only and met by their offsets, and no text
-    travels with the spans.
+    travels with the spans. With ``threshold`` both neighbours need a ``confidence`` of at least that.
     """
     w = Window.partitionBy(*group).orderBy("start_offset", "end_offset")
     runs = regex_spans(text, key, "text", rf"(?<! ) {{1,{max_gap}}}(?! )").select(F.col(key).alias("_k"), F.col("start_offset").alias("_a"), F.col("end_offset").alias("_b"))
     prev = spans.withColumn("_prev", F.lag("end_offset").over(w))
+    if threshold is not None:
+        prev = prev.withColumn("_before", F.lag("confidence").over(w))
     joined = prev.join(runs, (prev[key] == runs["_k"]) & (prev["_prev"] == runs["_a"]) & (prev["start_offset"] == runs["_b"]), "left")
     together = F.col("_a").isNotNull() | (F.col("start_offset") == F.col("_prev"))
+    if threshold is not None:
+        together = together & (F.col("confidence") >= threshold) & (F.col("_before") >= threshold)
     flagged = joined.withColumn("_new", F.when(F.coalesce(together, F.lit(False)), 0).otherwise(1)).drop("_k", "_a", "_b")
     island = flagged.withColumn("_island", F.sum("_new").over(w))
     aggs = [F.min("start_offset").alias("start_offset"), F.max("end_offset").alias("end_offset"), F.count(F.lit(1)).alias("parts")]

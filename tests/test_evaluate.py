@@ -86,3 +86,44 @@ def test_categories_and_splitting(spark):
     assert {(r.doc_id, r.page_index) for r in first.filter("is_first_page").collect()} == {(1, 0)}
     parts = split.sub_documents(split.group_pages(first, "doc_id"), "doc_id")
     assert {(r.doc_id, r.text, r.n_pages) for r in parts.collect()} == {(1, "An Invoice\nTotal 5\fmore", 2), (2, "nothing", 1)}
+
+
+def test_grouped_vote(spark):
+    rows = [
+        (1, "a", True, True, 0.9), (1, "b", True, True, 0.5), (1, "b", True, True, 0.3), (1, "c", False, False, 1.0),  # eligible ones by confidence
+        (2, "a", True, True, 0.0), (2, "b", True, True, None), (2, "b", True, True, 0.0),  # eligible ones by number
+        (3, None, True, True, 0.9), (3, "a", False, True, 0.9),  # eligible ones without a target
+        (4, "a", False, True, 0.2), (4, "b", False, False, 0.7),  # nobody is eligible
+        (5, None, False, False, None), (5, None, False, False, None), (5, "a", False, False, None),  # nothing speaks
+        (None, "z", True, True, 0.9), (6, "b", True, True, 0.5), (6, "a", True, True, 0.5),
+    ]
+    df = spark.createDataFrame(rows, "g int, t string, above_threshold boolean, is_matched boolean, confidence_predicted double")
+    out = evaluate.grouped_vote(df, "g", "t").collect()
+    assert {r.g: r.t_vote for r in out} == {1: "a", 2: "b", 3: None, 4: "b", 5: None, None: "z", 6: "a"}
+    assert len(out) == len(rows) and not [r for r in out if r.g in (3, 5) and r.is_correct_t]
+    assert evaluate.grouped_vote(df.limit(0), "g", "t").count() == 0
+
+
+def test_confusion_table(spark):
+    df = spark.createDataFrame([(1, 1), (1, 2), (2, None), (0, 0), (9, 1)], "actual int, predicted int")
+    got = {r.actual: r.asDict() for r in evaluate.confusion_table(df, [0, 1, 2]).collect()}
+    assert (got[1]["1"], got[1]["2"], got[2]["2"], got[0]["0"]) == (1, 1, 0, 1) and set(got) == {0, 1, 2}
+
+
+def test_categories(spark):
+    from quire.operators import categorize, layout
+    from quire.operators import spans as span_ops
+
+    rows = spark.createDataFrame([(1, 0, 5, 0.9, False), (1, 0, 6, 0.1, True), (1, 1, 5, None, False), (1, 1, 7, None, True)], "d int, p int, category_id long, confidence double, chosen boolean")
+    assert {(r.p, r.category_id) for r in categorize.best_per_page(rows, ["d", "p"], human="chosen").collect()} == {(0, 6), (1, 7)}
+    stored = spark.createDataFrame([(1, 7, 0.4), (1, 5, 0.3), (2, 5, 0.2)], "d int, category_id long, confidence double")
+    assert {(r.d, r.category_id): round(r.confidence, 3) for r in categorize.document_confidence(rows, "d", "p", stored=stored).collect()} == {(1, 5): 0.45, (1, 6): 0.05, (1, 7): 0.4, (2, 5): 0.2}
+    nan = float("nan")
+    pages = spark.createDataFrame([(1, [0.2, 0.8]), (1, [0.6, 0.4]), (1, [nan, nan]), (2, [nan, nan]), (3, [0.5, 0.5]), (4, None)], "d int, probabilities array<double>")
+    assert {r.d: r.category for r in categorize.mean_probabilities(pages, "d").collect()} == {1: 1, 2: None, 3: 0, 4: None}
+    text = spark.createDataFrame([(1, "ab cd ef")], "doc_id long, text string")
+    s = spark.createDataFrame([(1, 0, 2, 0.9), (1, 3, 5, 0.8), (1, 6, 8, 0.1)], "doc_id long, start_offset long, end_offset long, confidence double")
+    assert {(r.start_offset, r.end_offset) for r in span_ops.merge_horizontal(s, text, "doc_id", ["doc_id"], threshold=0.5).collect()} == {(0, 5), (6, 8)}
+    chars = spark.createDataFrame([(1, 0, i, c, 10.0 * i, 10.0 * i + 9, 0.0, 9.0) for i, c in enumerate("abc")], "page int, line_index int, char_index long, text string, x0 double, x1 double, y0 double, y1 double")
+    sel = spark.createDataFrame([(1, 7, 5.0, 30.0, 0.0, 10.0)], "page int, selection_id int, x0 double, x1 double, y0 double, y1 double")
+    assert [(r.start_offset, r.end_offset, r.text, r.x1) for r in layout.selected_spans(chars, sel, ["page"], tolerance=0.0).collect()] == [(1, 3, "bc", 29.0)]
