@@ -247,22 +247,27 @@ def _fullness(length: int, width: float) -> int:
     return 1 if length < 0.5 * width else 2 if length < 0.8 * width else 3
 
 
-def _above(line: str, width: float) -> int:
-    """The features that a line has from the one above it."""
-    s = line.strip()
+def _above(s: str, width: float) -> int:
+    """The features that a line has from the one above it, ``s``, which is stripped."""
     return _fullness(len(s), width) << _SHIFT["above"] | (1 if s[-1] in ".!?:。！？" else 2) << _SHIFT["end"] | (2 if "  " in s else 0) << _SHIFT["table"]
 
 
+def _ninth_tenth(sizes: list[int]) -> float:
+    """The length that nine of ten of these, which are sorted, do not exceed."""
+    return float(sizes[(len(sizes) - 1) * 9 // 10]) if sizes else 1.0
+
+
 def _width(pages: list[list[str]]) -> float:
     """The length that nine of ten filled lines of a text do not exceed."""
-    sizes = sorted(len(x.strip()) for p in pages for x in p if x.strip())
-    return float(sizes[(len(sizes) - 1) * 9 // 10]) if sizes else 1.0
+    return _ninth_tenth(sorted(len(s) for p in pages for x in p if (s := x.strip())))
 
 
 def observe(text: str, pages: list[list[str]]) -> list[np.ndarray]:
     """The observations of the filled lines of each page of a text."""
-    filled = [[i for i, line in enumerate(page) if line and not line.isspace()] for page in pages]
-    width = _width(pages)
+    bare = [[line.strip() for line in page] for page in pages]
+    filled = [[i for i, s in enumerate(page) if s] for page in bare]
+    sizes = sorted(len(page[i]) for page, rows in zip(bare, filled) for i in rows)
+    width = _ninth_tenth(sizes)
     starts, first, at = [], [], 0
     for page in pages:
         first.append(len(starts))
@@ -277,48 +282,51 @@ def observe(text: str, pages: list[list[str]]) -> list[np.ndarray]:
     several = len(pages) > 1
     canon = _canonical(text) if several else None
     seen: dict[str, int] = {}  # the page that has a line, -1 for several
-    again: Counter[tuple[bool, str, int]] = Counter()  # pages that have a line at a place, from the top or from the foot
+    again: dict[tuple[str, int], int] = {}  # pages that have a line at a place, from the top or (negative) from the foot
     shift: dict[tuple[bool, int], set[int]] = {}
-    for k, (page, rows) in enumerate(zip(pages, filled)):
+    for k, (page, rows) in enumerate(zip(bare, filled)):
+        n = len(rows)
         for rank, i in enumerate(rows):
-            no, line = first[k] + i, page[i]
-            if len(line.strip()) < 14:
-                alone = _alone_value(line)
+            no = first[k] + i
+            if len(page[i]) < 14:
+                alone = _alone_value(pages[k][i])
                 if alone:
                     number[no] = alone
-            if several and len(canon[no]) > 3:
-                if seen.setdefault(canon[no], k) != k:
-                    seen[canon[no]] = -1
-                again[True, canon[no], rank] += 1
-                again[False, canon[no], len(rows) - rank] += 1
-            sides = {rank * 2 < len(rows), rank * 2 + 1 > len(rows)} if len(rows) > 8 else (True, False)
+            if several:
+                words = canon[no]
+                if len(words) > 3:
+                    if seen.setdefault(words, k) != k:
+                        seen[words] = -1
+                    for place in ((words, rank), (words, rank - n)):
+                        again[place] = again.get(place, 0) + 1
             if no in number and number[no][0] is not None:
-                for top in sides:
+                for top in {rank * 2 < n, rank * 2 + 1 > n} if n > 8 else (True, False):
                     shift.setdefault((top, number[no][0] - k), set()).add(k)
+    tops, feet, longs, begun, tables, worded, blanks = (_SHIFT[f] for f in ("top", "foot", "long", "begins", "table", "worded", "blank"))
     out = []
-    for k, (page, rows) in enumerate(zip(pages, filled)):
-        obs = np.zeros(len(rows), np.int64)
+    for k, (page, rows) in enumerate(zip(bare, filled)):
+        n = len(rows)
+        obs = np.zeros(n, np.int64)
+        last, above = -1, 0  # the line above and what it gives
         for rank, i in enumerate(rows):
-            no, line = first[k] + i, page[i]
-            s = line.strip()
-            top = rank * 2 < len(rows)
-            o = min(rank, 6) << _SHIFT["top"] | min(len(rows) - 1 - rank, 6) << _SHIFT["foot"]
-            o |= (len(s) > 90) << _SHIFT["long"] | _begins(s[0]) << _SHIFT["begins"] | ("  " in s) << _SHIFT["table"]
-            if rank:
-                o |= _above(page[rows[rank - 1]], width) | (i > rows[rank - 1] + 1) << _SHIFT["blank"]
-            elif i:
-                o |= 1 << _SHIFT["blank"]
+            no, s = first[k] + i, page[i]
+            o = min(rank, 6) << tops | min(n - 1 - rank, 6) << feet | (len(s) > 90) << longs | _begins(s[0]) << begun | ("  " in s) << tables
+            o |= above | (i > last + 1) << blanks
+            last, above = i, _above(s, width)
             words = canon[no] if several else s
-            o |= (len(words) > 3) << _SHIFT["worded"]
+            o |= (len(words) > 3) << worded
             if several and len(words) > 3 and seen[words] < 0:
-                # A running line stands at about the same place of other pages.
-                others = max(sum(again[side, words, place + d] for d in range(-2, 3)) for side, place in ((True, rank), (False, len(rows) - rank))) - 1
+                # A running line stands at about the same place of other pages, from the top or from the foot.
+                from_top = sum(again.get((words, p), 0) for p in range(max(rank - 2, 0), rank + 3))
+                from_foot = sum(again.get((words, p), 0) for p in range(rank - n - 2, min(rank - n + 3, 0)))
+                others = max(from_top, from_foot) - 1
                 if others > 0:
                     share = others / (len(pages) - 1)
                     o |= (1 if others == 1 and share < 0.5 else 2 if share < 0.34 else 3 if share < 0.67 else 4) << _SHIFT["again"]
             if no in number:
                 value, form = number[no]
-                agrees = value is not None and max(len(shift.get((side, value - k), ())) for side in ((True, False) if len(rows) <= 8 else (top,))) > 1
+                top = rank * 2 < n
+                agrees = value is not None and max(len(shift.get((side, value - k), ())) for side in ((True, False) if n <= 8 else (top,))) > 1
                 if value is not None or form in (_ALONE, _FRAMED):
                     o |= (form + 7 * agrees) << _SHIFT["number"]
             obs[rank] = o
@@ -404,7 +412,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tails = [_tail(line) for _, line in filled]
             heads = [_head(line) for _, line in filled] if any(tails) else []
             # Addresses of mail are no words.
-            words = [list(dict.fromkeys(_TOKENS.findall(_MAIL.sub(" ", line) if _MAIL_SIGN.search(line) else line))) for _, line in filled]
+            mail = _MAIL_SIGN.search(text) is not None
+            words = [list(dict.fromkeys(_TOKENS.findall(_MAIL.sub(" ", line) if mail and _MAIL_SIGN.search(line) else line))) for _, line in filled]
             for c, v in zip(cols, (rid, obs, [n for n, _ in filled], heads, tails if heads else [], words)):
                 c.append(v)
         kinds = (pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.list_(pa.string())))
@@ -672,7 +681,7 @@ def tidy(text: str, known: list[dict] | None = None, chain: Chain | None = None)
             begins = no in starts
             if turned and above:
                 s = line.strip()
-                begins = chain.paragraph_odds(_above(above, width) | _begins(s[0]) << _SHIFT["begins"] | ("  " in s) << _SHIFT["table"]) > 0
+                begins = chain.paragraph_odds(_above(above.strip(), width) | _begins(s[0]) << _SHIFT["begins"] | ("  " in s) << _SHIFT["table"]) > 0
             turned = False
             cut = broken_word(above, line) if above else None
             above = line
