@@ -396,13 +396,15 @@ def _split(text: str) -> tuple[list[list[str]], list[int]]:
 _MAIL = re.compile(r"[\w.+-]+\s?(?:@|[(\[]at[)\]])\s?[\w-]+(?:(?:\.|\s?[(\[](?:dot|punkt)[)\]]\s?)[\w-]+)+|[\w+-]+[._][\w.+-]*@\s*$")
 _MAIL_SIGN = re.compile(r"@|[(\[]at[)\]]")
 _TOKENS = re.compile(r"[^\s.,;:?\[\])\"“”„«»…/·–—*=+_<>’']+")
-_READ = "request_id long, obs array<array<int>>, lines array<int>, heads array<string>, tails array<string>, words array<array<string>>"
+_READ = "request_id long, obs array<array<int>>, lines array<int>, heads array<string>, tails array<string>, words array<array<string>>, vocabulary array<string>, counts array<long>"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each text the observations of its pages, and of its filled lines their numbers, first words, broken last words and words."""
+    """Of each text the observations of its pages, and of its filled lines their numbers, first words, broken last words and words; and a row for each
+    batch with the words it has and on how many lines."""
     for batch in batches:
-        cols: tuple[list, ...] = ([], [], [], [], [], [])
+        cols: tuple[list, ...] = ([], [], [], [], [], [], [], [])
+        lines_of: Counter[str] = Counter()
         for rid, text in zip(batch.column("request_id").to_pylist(), batch.column("text").to_pylist()):
             if not text:
                 continue
@@ -414,10 +416,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # Addresses of mail are no words.
             mail = _MAIL_SIGN.search(text) is not None
             words = [list(dict.fromkeys(_TOKENS.findall(_MAIL.sub(" ", line) if mail and _MAIL_SIGN.search(line) else line))) for _, line in filled]
-            for c, v in zip(cols, (rid, obs, [n for n, _ in filled], heads, tails if heads else [], words)):
+            for w in words:
+                lines_of.update(w)
+            for c, v in zip(cols, (rid, obs, [n for n, _ in filled], heads, tails if heads else [], words, None, None)):
                 c.append(v)
-        kinds = (pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.list_(pa.string())))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["request_id", "obs", "lines", "heads", "tails", "words"])
+        for c, v in zip(cols, (None, None, None, None, None, None, list(lines_of), list(lines_of.values()))):
+            c.append(v)
+        kinds = (pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.list_(pa.string())), pa.list_(pa.string()), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["request_id", "obs", "lines", "heads", "tails", "words", "vocabulary", "counts"])
 
 
 def fit_chain(read: DataFrame, rounds: int = ROUNDS) -> Chain:
@@ -529,11 +535,12 @@ def _judge(pages: DataFrame, scratch: Scratch, starts: bool = False) -> tuple[Da
     with the meant ones (``form``: as most often written); misread broken words. All by request and line."""
     read = scratch.write(pages.mapInArrow(_read, _READ), "read")
     chain = fit_chain(read.select("obs"))
-    marks = scratch.write(read.drop("words").mapInArrow(_labels(chain, starts), "request_id long, line_no long, kind string, left string, right string, next_line long"), "marks")
+    marks = scratch.write(read.filter("vocabulary is null").drop("words", "vocabulary", "counts").mapInArrow(_labels(chain, starts), "request_id long, line_no long, kind string, left string, right string, next_line long"), "marks")
 
     by_line = read.select("request_id", F.explode(F.arrays_zip("lines", "words")).alias("x")).select("request_id", F.col("x.lines").cast("long").alias("line_no"), F.explode("x.words").alias("raw"))
-    # Patterns are tried once per distinct token, not per occurrence.
-    forms = by_line.groupBy("raw").agg(F.count(F.lit(1)).alias("n")).withColumn("core", F.regexp_replace("raw", r"^[-‐¬\u00ad(!]+|[-‐¬\u00ad]+$", "")).withColumn("w", F.lower("core")).filter(_is_word(F.col("w")))
+    # Words are counted where they are read, and patterns are tried once per distinct one.
+    counted = read.filter("vocabulary is not null").select(F.explode(F.arrays_zip("vocabulary", "counts")).alias("x")).select(F.col("x.vocabulary").alias("raw"), F.col("x.counts").alias("k"))
+    forms = counted.groupBy("raw").agg(F.sum("k").alias("n")).withColumn("core", F.regexp_replace("raw", r"^[-‐¬\u00ad(!]+|[-‐¬\u00ad]+$", "")).withColumn("w", F.lower("core")).filter(_is_word(F.col("w")))
     forms = scratch.write(forms, "forms")
     # The words of the corpus; a word broken at a line end counts as its whole.
     counts = scratch.write(forms.groupBy("w").agg(F.sum("n").alias("n"), F.max_by("core", F.struct("n", "core")).alias("form")), "words")
