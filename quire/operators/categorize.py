@@ -6,25 +6,27 @@ import json
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-#: Names of categories at most.
-MOST_NAMES = 100_000
+#: Names of categories at most; so many are tried by compiled code, which an array of names is not.
+MOST_NAMES, FEW_NAMES = 100_000, 200
 
 
 def by_name(pages: DataFrame, categories: DataFrame, key: str) -> DataFrame:
     """``key``, ``page_index``, ``category_id``: the longest category name found in the page's text in lower case, else the category
     of the document's first page that has one, else null. ``categories`` has ``category_id`` and ``fallback_name``.
 
-    The names are a table that is made one array, longest first: a page is scanned in place and nothing is multiplied or shuffled but by document. More than
-    ``MOST_NAMES`` raise.
+    A page is scanned in place and nothing is multiplied or shuffled but by document: few names are tried one after the other in compiled code, more stand in one array,
+    longest first; the result is the same. More than ``MOST_NAMES`` raise.
     """
     names = categories.filter("fallback_name is not null and category_id <> 0").select("category_id", "fallback_name").distinct()
     rows = sorted(((r["fallback_name"], r["category_id"]) for r in names.limit(MOST_NAMES + 1).collect()), key=lambda x: (-len(x[0]), x[1]))
     if len(rows) > MOST_NAMES:
         raise ValueError(f"more than {MOST_NAMES} category names")
+    pages = pages.withColumn("_low", F.lower("page_text"))
     listed = F.from_json(F.lit(json.dumps([{"name": n, "id": i} for n, i in rows])), "array<struct<name:string,id:bigint>>")
     first_of = F.get(F.filter(listed, lambda x: F.col("_low").contains(x["name"])), F.lit(0))["id"]
-    found = first_of if rows else F.lit(None).cast("bigint")
-    pages = pages.withColumn("_low", F.lower("page_text"))
+    found = F.lit(None).cast("bigint") if len(rows) <= FEW_NAMES else first_of
+    for name, cid in reversed(rows) if len(rows) <= FEW_NAMES else ():
+        found = F.when(F.col("_low").contains(name), F.lit(cid)).otherwise(found)
     hit = pages.select(key, "page_index", found.alias("own"))
     first = F.first("own", ignorenulls=True).over(Window.partitionBy(key).orderBy("page_index").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return hit.withColumn("category_id", F.coalesce("own", first)).drop("own")

@@ -127,3 +127,14 @@ def test_categories(spark):
     chars = spark.createDataFrame([(1, 0, i, c, 10.0 * i, 10.0 * i + 9, 0.0, 9.0) for i, c in enumerate("abc")], "page int, line_index int, char_index long, text string, x0 double, x1 double, y0 double, y1 double")
     sel = spark.createDataFrame([(1, 7, 5.0, 30.0, 0.0, 10.0)], "page int, selection_id int, x0 double, x1 double, y0 double, y1 double")
     assert [(r.start_offset, r.end_offset, r.text, r.x1) for r in layout.selected_spans(chars, sel, ["page"], tolerance=0.0).collect()] == [(1, 3, "bc", 29.0)]
+
+
+def test_many_names_are_found_alike(spark, monkeypatch):
+    from quire.operators import categorize
+
+    pages = spark.createDataFrame([(1, 0, "Eine RECHNUNG"), (1, 1, "x"), (2, 0, "kreditrechnung und rechnung"), (3, 0, None)], "doc_id long, page_index int, page_text string")
+    names = spark.createDataFrame([(7, "rechnung"), (8, "kreditrechnung"), (9, "rechnung"), (0, "x"), (5, None)], "category_id long, fallback_name string")
+    few = {tuple(r) for r in categorize.by_name(pages, names, "doc_id").collect()}
+    monkeypatch.setattr(categorize, "FEW_NAMES", 0)
+    assert {tuple(r) for r in categorize.by_name(pages, names, "doc_id").collect()} == few == {(1, 0, 7), (1, 1, 7), (2, 0, 8), (3, 0, None)}
+    assert categorize.by_name(pages, names.limit(0), "doc_id").filter("category_id is not null").count() == 0
